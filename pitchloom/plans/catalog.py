@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("prep",)
+_MODULES = ("prep", "relational", "analytic", "statistics")
 
 
 def _collect(attribute: str) -> dict:
