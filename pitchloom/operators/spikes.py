@@ -89,7 +89,7 @@ def flag_implausible(
         known = known & F.col(s).isNotNull()
     series = known & ~infinite
     result = [*dict.fromkeys([*source, *key, *values])]
-    simple = rows.where(~series).select(*result, F.lit(False).alias("is_spike"), F.lit(False).alias("is_stuck"), outside.alias("is_impossible"))
+    simple = rows.where(~series).select(*result, F.lit(False).alias("is_spike"), F.lit(False).alias("is_stuck"), outside.alias("is_impossible")).distinct()
 
     rows = rows.where(series)
     part = [F.col(c) for c in dict.fromkeys([*source, *segment])]
