@@ -62,9 +62,9 @@ def coarse_hash(form: Column) -> Column:
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, class_id, canonical) for rows whose look-alike class holds several texts.
 
-    ``class_id`` is the smallest key of the class; ``canonical`` is its text with the
-    fewest mapped characters (then the shortest, then the smallest in code point order), the same on every
-    run. Every other text is its own canonical form, see ``canonical_text``.
+    ``class_id`` is the smallest key of the class; ``canonical`` is a text that the mapping
+    leaves as it is, if there is one, else the one with the fewest mapped characters (then
+    the shortest, then the smallest in code point order), the same on every run. Every other text is its own canonical form, see ``canonical_text``.
 
     The texts themselves are shuffled only where it matters: a first pass aggregates 64-bit
     hashes; only values whose coarse hash occurs with two exact hashes go on to be grouped
@@ -73,11 +73,11 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     plain = rows.withColumn("_plain", look_alike(F.col("_text")))
-    mapped = plain.select("_key", "_text", F.collate("_plain", COLLATION).alias("_form"), coarse_hash(F.col("_plain")).alias("_h"))
+    mapped = plain.select("_key", "_text", (F.col("_text") != F.col("_plain")).alias("_odd"), F.collate("_plain", COLLATION).alias("_form"), coarse_hash(F.col("_plain")).alias("_h"))
     marks = mapped.groupBy("_h").agg(F.min(F.xxhash64("_text")).alias("lo"), F.max(F.xxhash64("_text")).alias("hi")).where(F.col("lo") != F.col("hi")).select("_h")
     some = mapped.join(marks, "_h", "left_semi")
     changed = F.length("_text") - F.length(F.replace(F.translate(F.col("_text"), _table()[0], "\x00" * len(_table()[0])), F.lit("\x00"), F.lit("")))
-    best = F.min(F.struct(changed.alias("changed"), F.length("_text").alias("size"), F.col("_text").alias("text")))
+    best = F.min(F.struct(F.col("_odd"), changed.alias("changed"), F.length("_text").alias("size"), F.col("_text").alias("text")))
     grouped = some.groupBy("_form").agg(F.min("_key").alias("class_id"), best.alias("best"), F.min("_text").alias("a"), F.max("_text").alias("b"))
     grouped = grouped.where(F.col("a") != F.col("b")).select("_form", "class_id", F.col("best.text").alias("canonical"))
     return some.join(grouped, "_form").select(F.col("_key").alias(key), F.col("_text").alias(text), "class_id", "canonical")
