@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("prep", "relational", "analytic", "statistics")
+_MODULES = ("prep", "relational", "analytic", "statistics", "published")
 
 
 def _collect(attribute: str) -> dict:
