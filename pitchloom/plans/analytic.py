@@ -160,7 +160,7 @@ def _(s, d):
 @q("w21_bh_adjusted", """WITH p AS (SELECT l_orderkey, l_linenumber, l_tax + l_discount / 10 + 0.0001 AS p, l_returnflag AS f FROM lineitem WHERE l_suppkey <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY f) AS n FROM p)
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(least(min(p * n / rk) OVER (PARTITION BY f ORDER BY rk DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS adjusted FROM r""")
 def _(s, d):
-    li = table(s, d, "lineitem").where("l_suppkey <= 3").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_tax") + F.col("l_discount") / 10 + 0.0001).alias("p"), F.col("l_returnflag").alias("f"))
+    li = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_tax") + F.col("l_discount") / 10 + 0.0001).alias("p"), F.col("l_returnflag").alias("f"))
     return bh_adjust(li, "p", ["f"], ["l_orderkey", "l_linenumber"], "adj").select("l_orderkey", "l_linenumber", F.round("adj", 6).alias("adjusted"))
 
 
