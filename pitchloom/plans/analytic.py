@@ -248,8 +248,10 @@ def _(s, d):
 @q("c23_pass_success", f"SELECT event_id, coalesce(lead(team_id) OVER (PARTITION BY match_id ORDER BY period NULLS FIRST, startTime NULLS FIRST, event_id) = team_id, false)::BIGINT AS success FROM {EV} WHERE possession_event_type = 'PA'")
 def _(s, d):
     w = Window.partitionBy("match_id").orderBy("period", "startTime", "event_id")
-    e = R.events(s, d, "match_id", "period", "startTime", "team_id", "possession_event_type").where("possession_event_type = 'PA'")
-    return e.select("event_id", F.coalesce(F.lead("team_id").over(w) == F.col("team_id"), F.lit(False)).cast("long").alias("success"))
+    e = R.events(s, d, "match_id", "period", "startTime", "team_id", "possession_event_type")
+    # the next event of any kind decides, so passes are picked after the window
+    e = e.withColumn("success", F.coalesce(F.lead("team_id").over(w) == F.col("team_id"), F.lit(False)).cast("long"))
+    return e.where("possession_event_type = 'PA'").select("event_id", "success")
 
 
 @q("c31_wide_summary", f"SELECT pff_player_id, round(avg(outcome) FILTER (perspective = 'GOAL_FOR'), 6) AS goal_for, round(avg(outcome) FILTER (perspective = 'GOAL_AGAINST'), 6) AS goal_against FROM {PANEL} GROUP BY 1")

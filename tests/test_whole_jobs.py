@@ -38,3 +38,15 @@ def test_w21_adjusts_every_row(spark, sf):
     got = sorted(map(tuple, catalog.queries()["w21_bh_adjusted"](spark, sf).select("l_orderkey", "l_linenumber", "adjusted").collect()))
     assert len(got) == len(rows)
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, sorted(want)))
+
+
+def test_c23_takes_the_next_event_of_any_kind(spark, sf):
+    events = f"(SELECT DISTINCT * EXCLUDE (received_at) FROM read_parquet('{sf}/events_enriched.parquet'))"
+    rows = duckdb.sql(f"SELECT event_id, match_id, team_id, possession_event_type FROM {events} ORDER BY match_id, period NULLS FIRST, startTime NULLS FIRST, event_id").fetchall()
+    want, cut_first = {}, {}
+    for pool, out in ((rows, want), ([r for r in rows if r[3] == "PA"], cut_first)):
+        for r, after in zip(pool, [*pool[1:], (None, None, None, None)]):
+            if r[3] == "PA":
+                out[r[0]] = int(after[1] == r[1] and r[2] is not None and after[2] == r[2] and after[0] is not None)
+    got = {r.event_id: r.success for r in catalog.queries()["c23_pass_success"](spark, sf).collect()}
+    assert got == want and want != cut_first
