@@ -21,9 +21,11 @@ def leave_one_out(df: DataFrame, block: list[str], pre: str = "member_pre", post
     return out.withColumns({"delta_player": F.col(post) - F.col(pre), "delta_team_loo": F.col("loo_post") - F.col("loo_pre")}).withColumn("delta_relative", F.col("delta_player") - F.col("delta_team_loo"))
 
 
-def on_grid(df: DataFrame, members: DataFrame, keys: list[str], position: str, low: int, high: int, values: list[str], fill: float | None = 0.0) -> DataFrame:
-    """``members`` times the positions low..high, with the values of ``df`` where it has them.
-    The grid is exploded from a literal sequence, so nothing is crossed by a join."""
-    grid = members.select(*keys, F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))).alias(position))
-    got = grid.join(df.select(*keys, F.col(position).cast("long").alias(position), *values), [*keys, position], "left")
+def on_grid(df: DataFrame, block: list[str], member: str, position: str, values: list[str], fill: float | None = 0.0) -> DataFrame:
+    """The members of each block times the positions where any of them has a row, with the
+    values of ``df`` (one row per block, member and position) where it has them. Members and
+    positions meet in an equi-join on the block, so a block without a row has none here."""
+    keys = [*block, member]
+    grid = df.select(*keys).distinct().join(df.select(*block, position).distinct(), block)
+    got = grid.join(df.select(*keys, position, *values), [*keys, position], "left")
     return got if fill is None else got.fillna(fill, values)

@@ -216,7 +216,7 @@ SELECT pff_match_id, period, pff_player_id, m, round(v - (CASE WHEN count(*) OVE
 def _(s, d):
     keys = ["pff_match_id", "period", "pff_player_id"]
     p = R.minutes(s, d).dropna(subset=["minute_in_period", "period"]).groupBy(*keys, F.col("minute_in_period").alias("m")).agg(F.max("distance_m").alias("v"))
-    grid = on_grid(p, p.select(*keys).distinct(), keys, "m", 0, 44, ["v"])
+    grid = on_grid(p, ["pff_match_id", "period"], "pff_player_id", "m", ["v"])
     return grid.select(*keys, "m", F.round(F.col("v") - others_mean("v", ["pff_match_id", "period", "m"]), 4).alias("relative"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitchloom.operators.blocks import on_grid
 from pitchloom.operators.ranking import bh_adjust
 from pitchloom.plans import catalog
 
@@ -50,3 +51,33 @@ def test_c23_takes_the_next_event_of_any_kind(spark, sf):
                 out[r[0]] = int(after[1] == r[1] and r[2] is not None and after[2] == r[2] and after[0] is not None)
     got = {r.event_id: r.success for r in catalog.queries()["c23_pass_success"](spark, sf).collect()}
     assert got == want and want != cut_first
+
+
+def test_grid_has_the_positions_of_the_block(spark):
+    df = spark.createDataFrame([(1, "a", 3, 2.0), (1, "b", 50, 4.0), (2, "a", 7, 1.0)], "g int, u string, m long, v double")
+    got = sorted(map(tuple, on_grid(df, ["g"], "u", "m", ["v"]).select("g", "u", "m", "v").collect()))
+    assert got == [(1, "a", 3, 2.0), (1, "a", 50, 0.0), (1, "b", 3, 0.0), (1, "b", 50, 4.0), (2, "a", 7, 1.0)]
+
+
+def test_c06_keeps_stoppage_time(spark, tmp_path):
+    rows = [(k, *r, None) for k, r in enumerate([(1, 1, 10, 44, 5.0), (1, 1, 11, 44, 1.0), (1, 1, 10, 47, 3.0), (1, 2, 10, 50, 2.0)])]
+    spark.createDataFrame(rows, "pm_id long, pff_match_id long, period long, pff_player_id long, minute_in_period long, distance_m double, loaded_at timestamp").write.parquet(str(tmp_path / "raw_per_minute.parquet"))
+    got = {tuple(r)[:4]: r.relative for r in catalog.queries()["c06_minute_contrast"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 10, 44): 4.0, (1, 1, 11, 44): -4.0, (1, 1, 10, 47): 3.0, (1, 1, 11, 47): -3.0, (1, 2, 10, 50): None}
+
+
+def test_c06_against_brute_force(spark, sf):
+    readings = duckdb.sql(f"SELECT pff_match_id, period, minute_in_period, pff_player_id, max(distance_m) FROM read_parquet('{sf}/raw_per_minute.parquet') WHERE minute_in_period IS NOT NULL AND period IS NOT NULL GROUP BY ALL").fetchall()
+    members, values = {}, {}
+    for game, period, m, player, v in readings:
+        members.setdefault((game, period), set()).add(player)
+        values.setdefault((game, period, m), {})[player] = v or 0.0
+    want = {}
+    for (game, period, m), own in values.items():
+        block = members[game, period]
+        for player in block:
+            x = own.get(player, 0.0)
+            want[game, period, player, m] = x - (sum(own.values()) - x) / (len(block) - 1) if len(block) > 1 else None
+    got = {tuple(r)[:4]: r.relative for r in catalog.queries()["c06_minute_contrast"](spark, sf).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
