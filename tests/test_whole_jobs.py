@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitchloom.llm.names import name_similarity
 from pitchloom.operators.blocks import on_grid
 from pitchloom.operators.ranking import bh_adjust
 from pitchloom.plans import catalog
@@ -81,3 +82,10 @@ def test_c06_against_brute_force(spark, sf):
     got = {tuple(r)[:4]: r.relative for r in catalog.queries()["c06_minute_contrast"](spark, sf).collect()}
     assert got.keys() == want.keys() and len(got) > 0
     assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_a_part_typed_alone_with_a_wrong_space():
+    assert name_similarity("alz anorenes", "dmitri", "al zanorenes") == pytest.approx(0.85)
+    assert name_similarity("alz anorenes", "al zanorenes", "dmitri") == pytest.approx(0.85)
+    assert name_similarity("peter anorenes", "dmitri", "bolkov") == 0.0
+    assert name_similarity("alz anorenes petrov", "dmitri", "al zanorenes") == 0.0
