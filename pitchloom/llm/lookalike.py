@@ -8,6 +8,10 @@ rule, is its canonical form and is joined back.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +36,40 @@ SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 _WIDE = range(0xFF01, 0xFF5F)  # the printable ASCII characters again, 0xFEE0 further on
 
 
-def _table() -> tuple[str, str]:
+@cache
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Mapped letters, what each becomes, and for marks that don't combine with the Latin
+    letter into one character: the marks and the composed letters that leave them behind."""
     pairs = dict(zip(CYRILLIC + GREEK + OTHER, CYRILLIC_LOOKS_LIKE + GREEK_LOOKS_LIKE + OTHER_LOOKS_LIKE))
     pairs |= {chr(c): chr(c - 0xFEE0) for c in _WIDE} | {chr(c): " " for c in SPACES}
     pairs = {a: b for a, b in pairs.items() if a != b}
-    return "".join(pairs), "".join(pairs.values())
+    composed: dict[str, str] = {}
+    apart: dict[str, str] = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        base, marks = (parts := unicodedata.normalize("NFD", c))[0], parts[1:]
+        if c in pairs or base not in pairs:
+            continue
+        latin = unicodedata.normalize("NFC", pairs[base] + marks)
+        if len(latin) > 1:
+            apart[marks] = apart.get(marks, "") + c
+        composed[c] = latin if len(latin) == 1 else pairs[base]
+    pairs |= composed
+    return "".join(pairs), "".join(pairs.values()), apart
+
+
+def _table() -> tuple[str, str]:
+    return _tables()[:2]
 
 
 def look_alike(text: Column) -> Column:
-    """The text with every look-alike mapped; accents, case, digits and punctuation stay."""
-    source, target = _table()
+    """The text with every look-alike mapped; accents, case, digits and punctuation stay.
+    A composed letter is mapped as its base letter and marks would be."""
+    source, target, apart = _tables()
     out = F.regexp_replace(text, INVISIBLE, "")
+    marked = out
+    for marks, letters in apart.items():
+        marked = F.regexp_replace(marked, f"([{letters}])", f"$1{marks}")
+    out = F.when(out.rlike("[" + "".join(apart.values()) + "]"), marked).otherwise(out)
     out = F.translate(out, source, target)
     parts = LIGATURES | ROMAN
     odd = "[" + "".join(parts) + "]"
