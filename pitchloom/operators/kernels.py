@@ -194,18 +194,40 @@ def qualification(teams: DataFrame, group: str, team: str, rate: str, sims: int
 
 def placebo(panel: DataFrame, by: str, unit: str, position: str, value: str, draws: int, seed: int = 42) -> DataFrame:
     """(by, effect, p): the post-minus-pre mean against draws in which each unit's post labels
-    are permuted. Draws are seeded per unit, sums per draw are merged by the engine, so
-    the panel is walked once and no group is gathered beyond one unit's readings."""
+    are permuted. Draws are seeded per unit. Units meet in a task as sorted rows, which adds
+    up its units, so it sends one row per group and draw; a unit's readings are gathered,
+    a group never. A permutation moves labels only, so counts and totals are those of the unit."""
+
+    def add(sums: dict, b: str, u: str, post: np.ndarray, v: np.ndarray) -> None:
+        rng = np.random.default_rng([seed, zlib.crc32(f"{b}:{u}".encode())])
+        s1, rest = sums.setdefault(b, (np.zeros(draws + 1), np.zeros(3)))
+        s1[0] += v[post].sum()
+        at = 1
+        while at <= draws:  # a few million labels at once, however long the unit is
+            some = min(draws + 1 - at, max(1, 4_000_000 // len(v)))
+            s1[at : at + some] += rng.permuted(np.tile(post, (some, 1)), axis=1) @ v
+            at += some
+        rest += (v.sum(), post.sum(), len(v))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_p", "_v"], kind="stable")
-        v, post = pdf["_v"].to_numpy(float), pdf["_p"].to_numpy() > 0
-        rng = np.random.default_rng([seed, zlib.crc32(f"{pdf['_b'].iloc[0]}:{pdf['_u'].iloc[0]}".encode())])
-        marks = np.vstack([post, *(rng.permutation(post) for _ in range(draws))])
-        return pd.DataFrame({"_b": pdf["_b"].iloc[0], "draw": np.arange(draws + 1), "s1": marks @ v, "n1": marks.sum(axis=1), "s0": (~marks) @ v, "n0": (~marks).sum(axis=1)})
-
-    rows = panel.select(F.col(by).alias("_b"), F.col(unit).alias("_u"), F.col(position).cast("long").alias("_p"), F.col(value).cast("double").alias("_v")).dropna()
-    sums = rows.groupBy("_b", "_u").applyInPandas(run, "_b string, draw long, s1 double, n1 long, s0 double, n0 long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            b, u, post, v = pdf["_b"].to_numpy(), pdf["_u"].to_numpy(), pdf["_p"].to_numpy() > 0, pdf["_v"].to_numpy(float)
+            starts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (u[1:] != u[:-1])])
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                add(sums, b[lo], u[lo], post[lo:hi], v[lo:hi])
+            held = pdf.iloc[starts[-1] :]  # may go on in the next batch
+        if held is not None and len(held):
+            add(sums, held["_b"].iloc[0], held["_u"].iloc[0], held["_p"].to_numpy() > 0, held["_v"].to_numpy(float))
+        for b, (s1, (total, n1, n)) in sums.items():
+            yield pd.DataFrame({"_b": b, "draw": np.arange(draws + 1), "s1": s1, "n1": int(n1), "s0": total - s1, "n0": int(n - n1)})
+
+    rows = panel.select(F.col(by).cast("string").alias("_b"), F.col(unit).cast("string").alias("_u"), F.col(position).cast("long").alias("_p"), F.col(value).cast("double").alias("_v")).dropna()
+    sums = rows.repartition("_b", "_u").sortWithinPartitions("_b", "_u", "_p", "_v").mapInPandas(run, "_b string, draw long, s1 double, n1 long, s0 double, n0 long")
     effects = sums.groupBy("_b", "draw").agg((F.try_divide(F.sum("s1"), F.sum("n1")) - F.try_divide(F.sum("s0"), F.sum("n0"))).alias("e"))
     real = F.max(F.when(F.col("draw") == 0, F.col("e")))
     drawn = effects.where("draw > 0").groupBy("_b").agg(F.collect_list("e").alias("es"))  # one number per draw

@@ -152,7 +152,7 @@ def _(s, d):
 
 @q("k19_placebo")
 def _(s, d):
-    return kernels.placebo(R.panel(s, d), "channel", "pff_player_id", "relative_min", "outcome", 200)
+    return kernels.placebo(R.panel(s, d), "channel", "pff_player_id", "relative_min", "outcome", 1000)
 
 
 @q("k24_doubly_robust")

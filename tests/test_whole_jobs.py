@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchloom.llm.lookalike import alike_pairs
 from pitchloom.llm.names import name_similarity
 from pitchloom.operators.blocks import on_grid
+from pitchloom.operators.kernels import placebo
 from pitchloom.operators.ranking import bh_adjust
 from pitchloom.plans import catalog
 
@@ -100,3 +101,20 @@ def test_composed_look_alikes_meet_their_decomposed_form(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     got = sorted(map(tuple, alike_pairs(df, "k", "t").collect()))
     assert got == [(0, 1), (0, 12), (1, 12), *((k, k + 1) for k in range(2, 12, 2))]
+
+
+def test_placebo_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, u, m, float(rng.normal() + (0.45 if b == "x" and m > 0 else 0.0))) for b in "xy" for u in range(12) for m in range(-4, 5)]
+    got = {r.b: r for r in placebo(spark.createDataFrame(rows, "b string, u long, m long, v double"), "b", "u", "m", "v", 1000).collect()}
+    for b in "xy":
+        v = np.array([r[3] for r in rows if r[0] == b]).reshape(12, 9)
+        effect = v[:, 5:].mean() - v[:, :5].mean()
+        drawn = np.array([(w[:, 5:].mean() - w[:, :5].mean()) for w in (rng.permuted(v, axis=1) for _ in range(4000))])
+        assert got[b].effect == pytest.approx(effect)
+        assert got[b].p == pytest.approx(np.mean(np.abs(drawn) >= abs(effect)), abs=0.06)
+
+
+def test_k19_draws_a_thousand_times(spark, sf):
+    got = catalog.queries()["k19_placebo"](spark, sf).collect()
+    assert got and all(abs(r.p * 1001 - round(r.p * 1001)) < 1e-6 for r in got)
