@@ -202,7 +202,7 @@ def _(s, d):
 @q("c19_qualification")
 def _(s, d):
     r = table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("grp"), F.col("n_nationkey").cast("long").alias("team"), (0.8 + F.col("n_nationkey") % 5 * 0.25).alias("rate"))
-    return kernels.qualification(r, "grp", "team", "rate", sims=500)
+    return kernels.qualification(r, "grp", "team", "rate", sims=1500)
 
 
 @q("k36_group_split", f"SELECT match_id, count(*) AS n FROM {GOALS} WHERE match_id IS NOT NULL GROUP BY 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitchloom.llm.lookalike import alike_pairs
 from pitchloom.llm.names import name_similarity
 from pitchloom.operators.blocks import on_grid
-from pitchloom.operators.kernels import placebo
+from pitchloom.operators.kernels import placebo, qualification
 from pitchloom.operators.ranking import bh_adjust
 from pitchloom.plans import catalog
 
@@ -118,3 +118,24 @@ def test_placebo_against_brute_force(spark):
 def test_k19_draws_a_thousand_times(spark, sf):
     got = catalog.queries()["k19_placebo"](spark, sf).collect()
     assert got and all(abs(r.p * 1001 - round(r.p * 1001)) < 1e-6 for r in got)
+
+
+def test_qualification_against_a_plain_simulation(spark, sf):
+    rates = [0.8, 1.3, 1.8, 0.5]
+    got = {r.t: r.p for r in qualification(spark.createDataFrame([(1, t, r) for t, r in enumerate(rates)], "g long, t long, r double"), "g", "t", "r").collect()}
+    rng, hits = np.random.default_rng(8), np.zeros(4)
+    for _ in range(6000):
+        table = [[0, 0, 0, t] for t in range(4)]
+        for i in range(4):
+            for j in range(i):
+                a, b = rng.poisson(rates[i]), rng.poisson(rates[j])
+                for t, x, y in ((i, a, b), (j, b, a)):
+                    table[t][0] += 3 if x > y else int(x == y)
+                    table[t][1] += x - y
+                    table[t][2] += x
+        for row in sorted(table, key=lambda r: (-r[0], -r[1], -r[2], r[3]))[:2]:
+            hits[row[3]] += 1
+    assert [got[t] for t in range(4)] == pytest.approx(list(hits / 6000), abs=0.05)
+    # shares of 1,500 simulations, which 500 can't all give
+    shares = [r.p * 1500 for r in catalog.queries()["c19_qualification"](spark, sf).collect()]
+    assert all(abs(x - round(x)) < 1e-6 for x in shares) and any(round(x) % 3 for x in shares)
