@@ -15,12 +15,15 @@ FEED = [
 ]
 PLAYERS = {"home_player": "homePlayers", "away_player": "awayPlayers"}
 
-#: psv95 in m/s; two of its last digits apart still count as stuck.
-PSV95 = Limits(lower=0.0, upper=12.5, stuck_len=5, stuck_tol=0.0021)
-#: metres in a minute: a whole minute at 12 m/s.
-DISTANCE = Limits(lower=0.0, upper=720.0, stuck_len=5, stuck_tol=0.021)
+#: Stuck readings may differ by two units of the last digit that the provider delivers (m/s, metres a minute, metres).
+STEPS = 2.1
+MINUTES = {
+    "psv95": Limits(lower=0.0, upper=12.5, stuck_len=5, stuck_tol=STEPS * 0.001),
+    # metres in a minute: a whole minute at 12 m/s
+    "distance_m": Limits(lower=0.0, upper=720.0, stuck_len=5, stuck_tol=STEPS * 0.01),
+}
 #: metres from the centre spot, five frames a second: two seconds without a centimetre of sway don't happen.
-POSITION = Limits(lower=-57.5, upper=57.5, stuck_len=10, stuck_tol=0.021, spike_k=8.0, detail_k=2.5, min_jump=4.0, local_rows=5)
+POSITION = Limits(lower=-57.5, upper=57.5, stuck_len=10, stuck_tol=STEPS * 0.01, detail_k=8.0, min_jump=4.0, reach=5, moving=True, max_gap=2_000.0)
 FULL_MINUTE = 1500
 
 
@@ -51,9 +54,11 @@ def p1_frame_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_kind", F.col("parent_id").alias("frame_id"), F.col("child_id").alias("shirt"), F.col("period").cast("long").alias("period"), "x", "y").distinct()
 
 
-def _minutes(spark: SparkSession, sf_dir: str, field: str, limits: Limits) -> DataFrame:
+def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields in one pass, as rows (field_name, value)."""
     rows = table(spark, sf_dir, "raw_per_minute").withColumn("partly", F.col("n_frames") < FULL_MINUTE)
-    return flag_implausible(rows, ["pff_player_id"], ["pff_match_id", "period"], "minute_in_period", ["pm_id"], [field], limits, low_exempt="partly")
+    long = rows.unpivot(["pm_id", "pff_player_id", "pff_match_id", "period", "minute_in_period", "partly"], list(MINUTES), "field_name", "value")
+    return flag_implausible(long, ["field_name", "pff_player_id"], ["pff_match_id", "period"], "minute_in_period", ["pm_id"], ["value"], MINUTES, low_exempt="partly", kind="field_name")
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +71,9 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.col("is_spike") | F.col("is_stuck") | F.col("is_impossible")
-    psv = _minutes(spark, sf_dir, "psv95", PSV95).where(case).select(F.lit("psv95").alias("field_name"), F.col("pm_id").alias("record_id"), F.lit(0).cast("long").alias("item_no"))
-    dist = _minutes(spark, sf_dir, "distance_m", DISTANCE).where(case).select(F.lit("distance_m").alias("field_name"), F.col("pm_id").alias("record_id"), F.lit(0).cast("long").alias("item_no"))
-    pos = _positions(spark, sf_dir).where(case).select(F.lit("homePlayers").alias("field_name"), F.col("frame_id").alias("record_id"), F.col("shirt").alias("item_no"))
-    return psv.union(dist).union(pos).distinct()
+    minutes = _minutes(spark, sf_dir).where(case).select("field_name", F.col("pm_id").alias("record_id"), F.lit(0).cast("long").alias("item_no"))
+    places = _positions(spark, sf_dir).where(case).select(F.lit("homePlayers").alias("field_name"), F.col("frame_id").alias("record_id"), F.col("shirt").alias("item_no"))
+    return minutes.union(places).distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_game_events": p1_game_events, "p1_frame_players": p1_frame_players, "p4_found": p4_found}
