@@ -63,6 +63,7 @@ class StructuralIndex:
         of = np.cumsum(of, dtype=np.int32)
 
         slash = buf == 92
+        self.slashes = np.cumsum(slash, dtype=np.int64)  # up to and with each byte
         run = place - np.maximum.accumulate(np.where(slash, -1, place))
         escaped = np.zeros(n, bool)
         escaped[1:] = (run[:-1] & 1).astype(bool)
@@ -162,7 +163,7 @@ class StructuralIndex:
             if text not in _WORDS and not _NUMBER.match(text):
                 valid[self.of[t]] = False
         if slash.any():
-            slashes = np.cumsum(slash, dtype=np.int64)
+            slashes = self.slashes
             strings = np.flatnonzero(self.kind == STRING)
             ends = np.minimum(self.end[strings], len(self.buf) - 1)
             for t in strings[slashes[ends] > slashes[self.pos[strings]]]:
@@ -185,8 +186,14 @@ class StructuralIndex:
         """The token's text; strings without their quotes and with escapes resolved."""
         if self.kind[token] == STRING:
             raw = self.raw[self.pos[token] : self.end[token] + 1]
-            return json.loads(raw) if b"\\" in raw else raw[1:-1].decode()
-        return self.raw[self.pos[token] : self.end[token]].decode()
+            # lone surrogates, escaped or not, stay as they are
+            return json.loads(raw.decode("utf-8", "surrogatepass")) if b"\\" in raw else raw[1:-1].decode("utf-8", "surrogatepass")
+        return self.raw[self.pos[token] : self.end[token]].decode("utf-8", "surrogatepass")
+
+    def whole(self, token: int) -> int | None:
+        """The whole number that a text or scalar token writes."""
+        raw = self.raw[self.pos[token] : self.end[token]]
+        return int(raw) if len(raw) < 19 and raw.isdigit() else whole_number(self.text(token))
 
     def members(self, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """(token of the object, token of the value) for every member under one of the names."""
@@ -199,6 +206,10 @@ class StructuralIndex:
             same = np.flatnonzero(length == len(want))
             if len(same):
                 hit[same] |= (self.buf[begin[same][:, None] + np.arange(len(want))] == want).all(axis=1)
+        # a name may be written with escapes, which only lengthen it
+        longer = np.flatnonzero((length > min(len(n) for n in names)) & (self.slashes[begin + length] > self.slashes[begin - 1]))
+        for k in longer:
+            hit[k] |= self.text(keys[k]) in names
         spot = spot[hit]
         return self.s_container[spot], self.s_token[spot + 1]
 
@@ -233,54 +244,82 @@ class StructuralIndex:
         return np.fromiter((self.pos[after[o]] + 1 for o in opener.tolist()), np.int64, len(opener))
 
 
+#: A whole number however it was typed: sign, leading zeros, a fraction of zeros.
+_WHOLE = re.compile(r"([+-]?)0*([0-9]{1,19})(?:\.0*)?\Z")
+_WHOLE_SQL = r"^[+-]?0*[0-9]{1,19}(\.0*)?$"
+LEAST_ID, MOST_ID = -(1 << 63), (1 << 63) - 1
+
+
 def whole_number(text: str) -> int | None:
-    """An id however it was typed: 7, "7", 7.0, " 07 "; None for anything that isn't a whole number."""
+    """An id however it was typed: 7, "7", 7.0, " 07 ", 7e0; None for anything that isn't a whole
+    number of 64 bits. Exponents are read as JSON numbers are, within the exact range of doubles."""
     text = text.strip()
-    try:
-        return int(text)
-    except ValueError:
-        try:
-            value = float(text)
-        except ValueError:
+    if found := _WHOLE.match(text):
+        value = int(found[1] + found[2])
+    else:
+        if not _NUMBER.match(text.encode("utf-8", "replace")):
+            return None
+        number = float(text)
+        if abs(number) >= 2**53 or number != int(number):
             return None
-        return int(value) if value == value and abs(value) < 2**53 and value == int(value) else None
+        value = int(number)
+    return value if LEAST_ID <= value <= MOST_ID else None
+
+
+def _last_of_each(holder: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Holders in ascending order and the last value each of them has."""
+    order = np.argsort(holder, kind="stable")
+    holder, value = holder[order], value[order]
+    last = np.append(holder[1:] != holder[:-1], True)[: len(holder)]
+    return holder[last], value[last]
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the wanted ones, whether they are there), from ascending keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return values[at], keys[at] == wanted
 
 
 def extract(payloads: list[bytes], specs: tuple[RecordSpec, ...], with_record: bool) -> dict[str, list]:
     """Rows of the linked tables for a block of payloads; ``row`` is the payload's place."""
     out: dict[str, list] = {"row": [], "record_kind": [], "parent": [], "child": [], "ordinal": [], "record": []}
     rows = list(range(len(payloads)))
-    for _ in range(4):  # a payload may be JSON text inside a JSON string, a few times over
-        if not rows:
-            break
+    while rows:  # a payload may be JSON text inside a JSON string; each wrapping is shorter than the last
         index = StructuralIndex(payloads)
-        ids: dict[str, dict[int, int]] = {}
+        place = np.asarray(rows)
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # kind: its objects, ascending, and their ids
         for spec in specs:
             holder, value = index.members(spec.keys)
+            up = None
             if spec.parent is not None:
-                keep = np.fromiter((h in ids[spec.parent] for h in holder.tolist()), bool, len(holder))
-                holder, value = holder[keep], value[keep]
-            record, owner, rank = index.objects(value, holder)
-            id_holder, id_value = index.members(spec.id_keys)
-            id_of = dict(zip(id_holder.tolist(), id_value.tolist()))
-            mine: dict[int, int] = {}
-            stops = index.closing(record) if with_record else None
-            for k, (r, o, place) in enumerate(zip(record.tolist(), owner.tolist(), rank.tolist())):
-                t = id_of.get(r)
-                child = whole_number(index.text(t)) if t is not None and index.kind[t] in (STRING, SCALAR) else None
-                if child is None:
-                    continue
-                mine[r] = child
-                out["row"].append(rows[index.of[r]])
-                out["record_kind"].append(spec.kind)
-                out["parent"].append(ids[spec.parent][o] if spec.parent is not None else None)
-                out["child"].append(child)
-                out["ordinal"].append(place)
-                out["record"].append(index.raw[index.pos[r] : stops[k]].decode() if with_record else None)
-            ids[spec.kind] = mine
+                up, is_known = _look_up(*known[spec.parent], holder)
+                holder, value, up = holder[is_known], value[is_known], up[is_known]
+            number = np.arange(len(holder))
+            record, owner, rank = index.objects(value, number)
+            token, has_id = _look_up(*_last_of_each(*index.members(spec.id_keys)), record)
+            has_id &= np.isin(index.kind[token], (STRING, SCALAR))
+            child = [index.whole(t) for t in token[has_id].tolist()]
+            fine = np.flatnonzero(has_id)[[c is not None for c in child]] if child else np.zeros(0, np.int64)
+            child = np.array([c for c in child if c is not None], np.int64)
+            record, owner, rank = record[fine], owner[fine], rank[fine]
+            order = np.argsort(record)
+            known[spec.kind] = record[order], child[order]
+            out["row"] += place[index.of[record]].tolist()
+            out["record_kind"] += [spec.kind] * len(record)
+            out["parent"] += [None] * len(record) if up is None else up[owner].tolist()
+            out["child"] += child.tolist()
+            out["ordinal"] += rank.tolist()
+            if with_record:
+                out["record"] += [index.raw[a:b].decode("utf-8", "replace") for a, b in zip(index.pos[record].tolist(), index.closing(record).tolist())]
+            else:
+                out["record"] += [None] * len(record)
         whole = (index.s_kind == STRING) & (index.s_container < 0) & index.valid[index.s_of]
         texts = [(rows[index.s_of[k]], index.text(index.s_token[k])) for k in np.flatnonzero(whole)]
         rows, payloads = [r for r, _ in texts], [t.encode("utf-8", "surrogatepass") for _, t in texts]
+        # a payload is never longer inside than outside, so an empty one ends its chain
+        rows, payloads = [r for r, t in zip(rows, payloads) if t], [t for t in payloads if t]
     return out
 
 
@@ -363,10 +402,13 @@ def flatten_lists(df: DataFrame, id_col: str, lists: dict[str, str], item_key: s
                 owner = np.repeat(np.arange(len(array)), length)
                 ordinal = np.arange(len(owner)) - np.repeat(offsets[:-1] - offsets[0], length)
                 key = pc.utf8_trim_whitespace(pc.cast(pc.struct_field(items, item_key), pa.string()))
-                good = pc.and_(pc.is_valid(items), pc.match_substring_regex(key, r"^[0-9]{1,15}(\.0*)?$"))
-                keep = pc.fill_null(good, False).to_numpy(zero_copy_only=False) & ~missing[owner]
+                # a frame holds few different keys, so each is read once, by the rule for text
+                codes = pc.dictionary_encode(key)
+                ids = pa.array([None if k is None else whole_number(k) for k in codes.dictionary.to_pylist()], pa.int64())
+                child = ids.take(codes.indices)
+                keep = pc.and_(pc.is_valid(items), pc.is_valid(child)).to_numpy(zero_copy_only=False) & ~missing[owner]
                 take = pa.array(np.flatnonzero(keep))
-                child = pc.cast(pc.replace_substring_regex(key.take(take), r"\.0*$", ""), pa.int64())
+                child = child.take(take)
                 up = pa.array(owner[keep])
                 out = [pa.array([label] * len(up), pa.string()), batch.column(0).take(up), child, pa.array(ordinal[keep], pa.int32())]
                 out += [batch.column(1 + c).take(up) for c in range(ncarry)]
@@ -380,4 +422,7 @@ def flatten_lists(df: DataFrame, id_col: str, lists: dict[str, str], item_key: s
 def whole_number_column(column: Column) -> Column:
     """``whole_number`` for a string column, inside the JVM: null where it isn't one."""
     text = F.trim(column)
-    return F.when(text.rlike(r"^[0-9]{1,15}(\.0*)?$"), F.regexp_replace(text, r"\.0*$", "").cast("long"))
+    short = F.regexp_replace(text, r"\.0*$", "").try_cast("decimal(38,0)").try_cast("long")
+    number = text.try_cast("double")
+    long = F.when(text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & (F.abs(number) < float(2**53)) & (number == F.floor(number)), number.cast("long"))
+    return F.when(text.rlike(_WHOLE_SQL), short).otherwise(long)

@@ -85,3 +85,33 @@ def test_typed_lists(spark):
 def test_block_size_changes_nothing(spark, size):
     df = spark.createDataFrame([(k, '{"es": [{"id": %d, "ps": [{"pid": %d}]}]}' % (k, -k)) for k in range(200)], "feed long, body string")
     assert flatten_json(df, "feed", "body", list(SPECS), block_bytes=size).count() == 400
+
+
+def test_any_number_of_wrappings_and_escaped_names():
+    text = '{"es": [{"id": 5}]}'
+    for _ in range(8):
+        text = json.dumps(text)
+    assert links(text) == [("e", None, 5, 0)]
+    assert links(r'{"\u0065s": [{"\u0069d": 5, "p\u0073": {"p\u0069d": 6}}]}') == [("e", None, 5, 0), ("p", 5, 6, 0)]
+    assert links('{"es": [{"id": 1, "id": 2}]}') == [("e", None, 2, 0)]  # the last of repeated names, as JSON readers do
+
+
+def test_ids_that_do_not_fit_skip_their_record_only(spark):
+    bodies = ['{"es": [{"id": 99999999999999999999}, {"id": "1_0"}, {"id": -3}, {"id": 9223372036854775807}]}', '{"es": [{"id": "\\ud800"}, {"id": 4, "t": "\\udfff"}]}', '"\\ud800"']
+    df = spark.createDataFrame(list(enumerate(bodies)), "feed long, body string")
+    got = sorted((r.row_id, r.child_id) for r in flatten_json(df, "feed", "body", list(SPECS), with_record=True).collect())
+    assert got == [(0, -3), (0, 9223372036854775807), (1, 4)]
+
+
+def test_the_three_readers_of_whole_numbers_agree(spark):
+    from pyspark.sql import functions as F
+
+    from pitchloom.operators.nested import whole_number_column
+
+    texts = ["7", " 07 ", "7.0", "7.", "-3", "+4", "-0", "7.5", "x", "", "1_0", "1e3", "1.5e1", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "99999999999999999999", "0" * 30 + "12", None]
+    want = [None if t is None else whole_number(t) for t in texts]
+    df = spark.createDataFrame([(k, [(t,)]) for k, t in enumerate(texts)], "id long, home array<struct<jerseyNum:string>>")
+    listed = {r.parent_id: r.child_id for r in flatten_lists(df, "id", {"home": "home"}, "jerseyNum").collect()}
+    column = {r.id: r.n for r in df.select("id", whole_number_column(F.col("home")[0]["jerseyNum"]).alias("n")).collect()}
+    assert [listed.get(k) for k in range(len(texts))] == want
+    assert [column[k] for k in range(len(texts))] == want
