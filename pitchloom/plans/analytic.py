@@ -157,7 +157,7 @@ def _(s, d):
     return debounce(t, ["game", "period"], ["frame_id"], "home_ball", 2, "steady").select("frame_id", "home_ball", "steady")
 
 
-@q("w21_bh_adjusted", """WITH p AS (SELECT l_orderkey, l_linenumber, l_tax + l_discount / 10 + 0.0001 AS p, l_returnflag AS f FROM lineitem WHERE l_suppkey <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY f) AS n FROM p)
+@q("w21_bh_adjusted", """WITH p AS (SELECT l_orderkey, l_linenumber, l_tax + l_discount / 10 + 0.0001 AS p, l_returnflag AS f FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, l_orderkey, l_linenumber) AS rk, count(*) OVER (PARTITION BY f) AS n FROM p)
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(least(min(p * n / rk) OVER (PARTITION BY f ORDER BY rk DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS adjusted FROM r""")
 def _(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_tax") + F.col("l_discount") / 10 + 0.0001).alias("p"), F.col("l_returnflag").alias("f"))
@@ -211,7 +211,7 @@ def _(s, d):
 
 
 @q("c06_minute_contrast", f"""WITH p AS (SELECT pff_match_id, period, pff_player_id, minute_in_period AS m, max(distance_m) AS v FROM {PM} WHERE minute_in_period IS NOT NULL AND period IS NOT NULL GROUP BY ALL), mem AS (SELECT DISTINCT pff_match_id, period, pff_player_id FROM p),
-g AS (SELECT * FROM mem, (SELECT unnest(range(0, 45)) AS m)), f AS (SELECT g.pff_match_id, g.period, g.pff_player_id, g.m, coalesce(p.v, 0) AS v FROM g LEFT JOIN p USING (pff_match_id, period, pff_player_id, m))
+g AS (SELECT * FROM mem JOIN (SELECT DISTINCT pff_match_id, period, m FROM p) USING (pff_match_id, period)), f AS (SELECT g.pff_match_id, g.period, g.pff_player_id, g.m, coalesce(p.v, 0) AS v FROM g LEFT JOIN p USING (pff_match_id, period, pff_player_id, m))
 SELECT pff_match_id, period, pff_player_id, m, round(v - (CASE WHEN count(*) OVER b > 1 THEN (sum(v) OVER b - v) / (count(*) OVER b - 1) END), 4) AS relative FROM f WINDOW b AS (PARTITION BY pff_match_id, period, m)""")
 def _(s, d):
     keys = ["pff_match_id", "period", "pff_player_id"]
@@ -245,7 +245,7 @@ def _(s, d):
     return R.panel(s, d).where("outcome IS NOT NULL").select("panel_id", F.when(v > 0, -v).otherwise(F.abs(v)).alias("credit"))
 
 
-@q("c23_pass_success", f"SELECT event_id, coalesce(lead(team_id) OVER (PARTITION BY match_id ORDER BY period NULLS FIRST, startTime NULLS FIRST, event_id) = team_id, false)::BIGINT AS success FROM {EV} WHERE possession_event_type = 'PA'")
+@q("c23_pass_success", f"SELECT event_id, success FROM (SELECT event_id, possession_event_type, coalesce(lead(team_id) OVER (PARTITION BY match_id ORDER BY period NULLS FIRST, startTime NULLS FIRST, event_id) = team_id, false)::BIGINT AS success FROM {EV}) WHERE possession_event_type = 'PA'")
 def _(s, d):
     w = Window.partitionBy("match_id").orderBy("period", "startTime", "event_id")
     e = R.events(s, d, "match_id", "period", "startTime", "team_id", "possession_event_type")

@@ -73,7 +73,9 @@ def _(s, d):
 
 @q("sel03_goals_view", f"SELECT event_id, match_id, start_game_clock, coalesce(possessionEvents.nonEvent, false) OR coalesce(gameEvents.initialNonEvent, false) AS disallowed, coalesce(period = 4 AND start_game_clock > 7200, false) AS shootout FROM {EV} WHERE possessionEvents.shotOutcomeType = 'G'")
 def _(s, d):
-    e = events(s, d, "match_id", "period", "start_game_clock", "gameEvents", "possessionEvents").where(F.col("possessionEvents.shotOutcomeType") == "G")
+    # repeats carry the same content, so the filter may come before they are dropped
+    rows = table(s, d, "events_enriched").where(F.col("possessionEvents.shotOutcomeType") == "G")
+    e = rows.select("event_id", "match_id", "period", "start_game_clock", "gameEvents", "possessionEvents").dropDuplicates(["event_id"])
     no = F.coalesce("possessionEvents.nonEvent", F.lit(False)) | F.coalesce("gameEvents.initialNonEvent", F.lit(False))
     return e.select("event_id", "match_id", "start_game_clock", no.alias("disallowed"), F.coalesce((F.col("period") == 4) & (F.col("start_game_clock") > 7200), F.lit(False)).alias("shootout"))
 
@@ -99,7 +101,9 @@ def _(s, d):
     return table(s, d, "events_enriched").where(F.col("possession_event_type").isin("SH", "CR", "PA") & F.col("minute").between(80, 90)).select("event_id").distinct()
 
 
+# --- fixed values: position groups and their buckets ---
 BUCKETS = {"GK": "GK", "LCB": "DEF", "RCB": "DEF", "MCB": "DEF", "LB": "DEF", "RB": "DEF", "LWB": "DEF", "RWB": "DEF", "DM": "MED", "CM": "MED", "AM": "MED", "LM": "MED", "RM": "MED", "LW": "ATT", "RW": "ATT", "CF": "ATT"}
+# --- end of fixed values ---
 _BUCKET_SQL = "CASE " + " ".join(f"WHEN position_group = '{a}' THEN '{b}'" for a, b in BUCKETS.items()) + " ELSE 'OTHER' END"
 
 
@@ -215,7 +219,8 @@ def _(s, d):
 @q("j13_full_outer", f"SELECT coalesce(a.match_id, b.match_id) AS match_id, a.n_goals, b.n_shots FROM (SELECT match_id, count(*) AS n_goals FROM {GOALS} WHERE match_id IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT match_id, count(*) AS n_shots FROM {EV} WHERE possession_event_type = 'SH' AND match_id IS NOT NULL GROUP BY 1) b ON a.match_id = b.match_id")
 def _(s, d):
     a = goals(s, d).where("match_id IS NOT NULL").groupBy("match_id").agg(F.count(F.lit(1)).alias("n_goals"))
-    b = events(s, d, "match_id", "possession_event_type").where("possession_event_type = 'SH' AND match_id IS NOT NULL").groupBy("match_id").agg(F.count(F.lit(1)).alias("n_shots"))
+    shots = table(s, d, "events_enriched").where("possession_event_type = 'SH' AND match_id IS NOT NULL").select("event_id", "match_id").distinct()
+    b = shots.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_shots"))
     return a.join(b, "match_id", "full")
 
 
@@ -306,9 +311,11 @@ def _(s, d):
     return panel(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("shock_id").alias("n_shocks"), F.count_if(F.col("stage") == "GROUP").alias("n_group"), F.count_if(F.col("post") == 1).alias("n_post"))
 
 
-@q("a17_exposure", f"SELECT pff_player_id, round(avg(leverage), 6) AS mean_lev, max(leverage) AS max_lev, count(*) FILTER (leverage >= 0.05) AS n_high FROM {PANEL} GROUP BY 1")
+@q("a17_exposure", f"SELECT pff_player_id, round(sum(CAST(leverage AS DECIMAL(18,9)))::DOUBLE / count(leverage), 6) AS mean_lev, max(leverage) AS max_lev, count(*) FILTER (leverage >= 0.05) AS n_high FROM {PANEL} GROUP BY 1")
 def _(s, d):
-    return panel(s, d).groupBy("pff_player_id").agg(F.round(F.avg("leverage"), 6).alias("mean_lev"), F.max("leverage").alias("max_lev"), F.count_if(F.col("leverage") >= 0.05).alias("n_high"))
+    # summed exactly, so that the order of the rows can't decide how a mean is rounded
+    mean = F.try_divide(F.sum(F.col("leverage").cast("decimal(18,9)")).cast("double"), F.count("leverage"))
+    return panel(s, d).groupBy("pff_player_id").agg(F.round(mean, 6).alias("mean_lev"), F.max("leverage").alias("max_lev"), F.count_if(F.col("leverage") >= 0.05).alias("n_high"))
 
 
 @q("a18_minutes_played", f"SELECT pff_player_id, count(*) AS minutes, count(DISTINCT pff_match_id) AS matches FROM {PM} GROUP BY 1")

@@ -182,7 +182,7 @@ def _(s, d):
 @q("j16_greedy_match")
 def _(s, d):
     g = R.goals(s, d).select("goal_id", "match_id", "period", F.col("start_game_clock").alias("t")).dropna()
-    e = R.events(s, d, "match_id", "period", "start_game_clock", "possessionEvents").where("possessionEvents.shotOutcomeType = 'G'").select("event_id", "match_id", "period", F.col("start_game_clock").alias("t")).dropna()
+    e = table(s, d, "events_enriched").where("possessionEvents.shotOutcomeType = 'G'").select("event_id", "match_id", "period", F.col("start_game_clock").alias("t")).dropna().distinct()
     return kernels.greedy_match(g, e, "goal_id", "event_id", ["match_id", "period"], "t")
 
 

@@ -72,6 +72,14 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key]) if key in df.columns else df.distinct()
 
 
+def few_rows(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a parameter table on the driver; more than ``most`` are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, used to decide whether a side may be broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,14 +1,10 @@
 """Queries that must cover their whole tables, against brute force over all rows."""
 
-import unicodedata
-
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchloom.llm.lookalike import alike_pairs
-from pitchloom.llm.names import name_similarity
 from pitchloom.operators.blocks import on_grid
 from pitchloom.operators.kernels import placebo, qualification
 from pitchloom.operators.ranking import bh_adjust
@@ -88,21 +84,6 @@ def test_c06_against_brute_force(spark, sf):
     assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
 
 
-def test_a_part_typed_alone_with_a_wrong_space():
-    assert name_similarity("alz anorenes", "dmitri", "al zanorenes") == pytest.approx(0.85)
-    assert name_similarity("alz anorenes", "al zanorenes", "dmitri") == pytest.approx(0.85)
-    assert name_similarity("peter anorenes", "dmitri", "bolkov") == 0.0
-    assert name_similarity("alz anorenes petrov", "dmitri", "al zanorenes") == 0.0
-
-
-def test_composed_look_alikes_meet_their_decomposed_form(spark):
-    composed = ["\u0451лка", "мо\u0439", "\u045e\u040eq", "\u040c\u0457", "\u0386\u03cc", "\u1f0c"]
-    texts = [t for c in composed for t in (c, unicodedata.normalize("NFD", c))] + ["\u00ebлка", "елка", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
-    got = sorted(map(tuple, alike_pairs(df, "k", "t").collect()))
-    assert got == [(0, 1), (0, 12), (1, 12), *((k, k + 1) for k in range(2, 12, 2))]
-
-
 def test_placebo_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(b, u, m, float(rng.normal() + (0.45 if b == "x" and m > 0 else 0.0))) for b in "xy" for u in range(12) for m in range(-4, 5)]
