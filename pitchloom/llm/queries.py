@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchloom.llm.lookalike import alike_pairs, canonical_text
+from pitchloom.llm.lookalike import alike_pairs, canonical_text, class_sizes
 from pitchloom.llm.mixing import mixture
 from pitchloom.llm.names import link_names
 from pitchloom.llm.nearest import nearest
@@ -139,6 +139,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per class with its rows, its different texts and the pairs they make."""
+    return class_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -158,6 +163,7 @@ QUERIES = {
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_canonical": p9_canonical,
 }
 

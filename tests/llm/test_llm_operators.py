@@ -1,10 +1,11 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchloom.llm.lookalike import alike_pairs, canonical_text, look_alike
+from pitchloom.llm.lookalike import alike_pairs, canonical_text, class_sizes, coarse, look_alike
 from pitchloom.llm.mixing import mixture, project_rates
 from pitchloom.llm.names import distance, link_names, name_similarity
 from pitchloom.llm.nearest import nearest
@@ -201,7 +202,31 @@ def test_other_signs_stay_different(spark):
     pairs = [("a", "á"), ("A", "a"), ("1", "l"), ("O", "0"), (".", ","), ("é", "è"), ("ß", "ss"), ("ı", "i"), ("²", "2")]
     df = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "id long, t string")
     assert alike_pairs(df, "id", "t").count() == 0
-    assert df.select(look_alike(F.col("t")).alias("m")).distinct().count() == len({t for p in pairs for t in p})
+    assert len({look_alike(t) for p in pairs for t in p}) == len({t for p in pairs for t in p})
+
+
+def test_look_alikes_are_mapped_by_rule():
+    pairs = [("𝐁old ℬ", "Bold B"), ("ｱ ｶﾞ", "ア ガ"), ("a‐b‑c", "a-b-c"), ("ﬁﬀ Ⅻ", "fifi XII".replace("fifi", "fiff")), ("…", "..."), ("ﻛ", "ك"), ("\u00a0\u3000x\u200b", "  x"), ("ё", "ë")]
+    for a, b in pairs:
+        assert unicodedata.normalize("NFC", look_alike(a)) == unicodedata.normalize("NFC", b), a
+    for c in "½²№ſϑ´é1lO0«»ß":
+        assert look_alike(c) == c
+    for c in map(chr, range(0x80, 0x110000)):
+        if look_alike(c) != c:
+            assert look_alike(look_alike(c)) == look_alike(c), hex(ord(c))
+
+
+def test_coarse_is_blind_to_what_the_collation_ignores(spark):
+    texts = ["é", "e\u0301", "Å", "A\u030a", "a\u0000b", "ab", "\u1e69", "s\u0323\u0307", "s\u0307\u0323", "ガ", "カ\u3099"]
+    df = spark.createDataFrame([(t, coarse(look_alike(t))) for t in texts], "t string, c string").select(F.collate("t", "UNICODE").alias("t"), "c")
+    assert df.groupBy("t").agg(F.countDistinct("c").alias("n")).where("n > 1").count() == 0
+
+
+def test_copies_of_a_text_never_meet(spark):
+    rows = [(k, "Саfé") for k in range(400)] + [(1000 + k, "Café") for k in range(3)] + [(2000, "Cafe")] + [(3000 + k, "Cafe") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert alike_pairs(df, "id", "t").count() == 1200
+    assert [tuple(r) for r in class_sizes(df, "id", "t").select("class_id", "n_rows", "n_texts", "n_links").collect()] == [(0, 403, 2, 1200)]
 
 
 # --- names ---
