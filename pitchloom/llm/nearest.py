@@ -49,7 +49,10 @@ def _match(pdf: pd.DataFrame, tolerance: float, final: bool) -> tuple[pd.DataFra
     after = np.where(after < last, after, -1)
     gap_before = np.where(before >= 0, t - t[np.maximum(before, 0)], np.inf)
     gap_after = np.where(after >= 0, t[np.maximum(after, 0)] - t, np.inf)
-    waits = left & open_part & (after < 0) & (gap_before > 0)
+    # the next right record can't be nearer than what has been read already, so a left one waits
+    # only while that is within the tolerance and nearer than the right one before it
+    ahead = t[-1] - t if n else t
+    waits = left & open_part & (after < 0) & (gap_before > ahead) & (ahead <= tolerance)
     ready = left & ~waits
     earlier = gap_before <= gap_after
     gap = np.where(earlier, gap_before, gap_after)

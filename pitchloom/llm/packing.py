@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.session import few_rows
+
 SHARD_BITS = 32
+#: container sizes at most; more are an error
+MOST_SIZES = 100_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -76,15 +82,19 @@ def pack(docs: DataFrame, key: str, size: str, containers: DataFrame, shard_item
     spread by hash over shards of about ``shard_items`` items that are packed side by side;
     a shard leaves at most its last containers unfilled, so the loss is bounded by the
     number of shards. Null or negative sizes count as 0; items of size 0 take no room and
-    go to the shard's first container. Rows with a null key are items too; repeats are
-    separate items, so pass each once. Sizes without a positive capacity are left out.
+    go to the shard's first container. Rows with a null key are items too, and so are
+    repeats; equal rows are counted first and spread by their number, so that a key that
+    holds a third of all rows fills many shards. Sizes without a positive capacity are
+    left out; more than ``MOST_SIZES`` sizes are an error.
     """
     items = docs.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("_n"))
-    kinds = containers.where(F.col("capacity_tokens") > 0).select(F.col("size_name").alias("_size"), F.col("capacity_tokens").cast("long").alias("_cap")).distinct()
-    kinds_list = [(r["_size"], r["_cap"]) for r in kinds.limit(1000).collect()]
+    kinds = containers.where(F.col("capacity_tokens") > 0).select(F.col("size_name").cast("string").alias("_size"), F.col("capacity_tokens").cast("long").alias("_cap")).distinct()
+    kinds_list = [{"_size": r["_size"], "_cap": r["_cap"]} for r in few_rows(kinds, MOST_SIZES, "container sizes")]
     shards = max(1, -(-items.count() // shard_items))
-    by_size = F.array(*[F.struct(F.lit(s).cast("string").alias("_size"), F.lit(c).cast("long").alias("_cap")) for s, c in kinds_list]) if kinds_list else F.expr("cast(array() as array<struct<_size:string,_cap:bigint>>)")
-    each = items.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).select("*", F.inline(by_size))
+    # one folded literal, however many sizes there are
+    by_size = F.from_json(F.lit(json.dumps(kinds_list)), "array<struct<_size:string,_cap:bigint>>")
+    copies = items.groupBy("_key", "_n").agg(F.count(F.lit(1)).alias("_m")).select("_key", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("_copy"))
+    each = copies.withColumn("_shard", F.pmod(F.xxhash64("_key", "_copy"), F.lit(shards))).drop("_copy").select("*", F.inline(by_size))
     kind = dict((f.name, f.dataType.simpleString()) for f in items.schema.fields)["_key"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,6 +130,23 @@ def pack(docs: DataFrame, key: str, size: str, containers: DataFrame, shard_item
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(size_name, n_containers, tokens, fill): how much of the opened containers is used."""
     used = packed.groupBy("size_name").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("tokens").alias("tokens"))
-    return used.join(F.broadcast(containers.select("size_name", "capacity_tokens").distinct()), "size_name").select(
+    return used.join(containers.select("size_name", "capacity_tokens").distinct(), "size_name").select(
         "size_name", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill")
     )
+
+
+def audit(packed: DataFrame, containers: DataFrame, key: str, least_fill: float) -> DataFrame:
+    """(size_name, tokens, n_cut, n_over, n_ragged, well_filled): what a packing must keep. Tokens
+    of all pieces, items that are cut, containers beyond their capacity, cut items that
+    have a piece between their first and last that isn't a whole container, and whether
+    all containers but one of each shard are filled to ``least_fill`` on average."""
+    caps = containers.select("size_name", "capacity_tokens").distinct()
+    per = packed.groupBy("size_name", "container_id").agg(F.sum("tokens").alias("t")).join(caps, "size_name")
+    shard = F.shiftright("container_id", SHARD_BITS)
+    boxes = per.groupBy("size_name").agg(
+        F.sum("t").alias("tokens"), F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"),
+        (F.sum("t") >= least_fill * (F.count(F.lit(1)) - F.count_distinct(shard)) * F.first("capacity_tokens")).alias("well_filled"),
+    )
+    ragged = (F.col("piece_no") < F.col("n_pieces") - 1) & (F.col("tokens") != F.col("capacity_tokens"))
+    cut = packed.join(caps, "size_name").groupBy("size_name").agg(F.count_if((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).alias("n_cut"), F.count_if(ragged).alias("n_ragged"))
+    return boxes.join(cut, "size_name").select("size_name", "tokens", "n_cut", "n_over", "n_ragged", "well_filled")

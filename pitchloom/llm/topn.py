@@ -2,8 +2,9 @@
 
 Every input partition is sorted once into a run ordered by group and score; a pass over the
 run keeps N distinct items of a group and seeks to the next one. Only these heads are
-shuffled, so a group of any size sends at most N rows per run. Where they meet, a loser
-tree merges the runs of a group and stops after N outputs.
+shuffled, so a group of any size sends at most N rows per run. Runs meet in two levels, by
+group and bucket of runs and then by group; where they meet, a loser tree merges a bounded
+number of runs at a time and stops after N outputs. Values stay in Arrow types throughout.
 """
 
 from __future__ import annotations
@@ -11,13 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: runs of a group that are held and merged at once
+MOST_RUNS = 256
+#: runs 0 to 2 ** BUCKET_BITS - 1 form the first bucket, and so on
+BUCKET_BITS = 10
 
 
 class LoserTree:
@@ -145,37 +151,55 @@ def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int
 
     runs = flat.sortWithinPartitions(*by).mapInArrow(heads, f"{ddl}, _run int, _at int")
 
-    def merged(rows: list[tuple]) -> list[tuple]:
-        """rows of one group: (*keys, *items, run), run by run"""
-        lists: list[list[tuple]] = []
-        current = None
-        for r in rows:
-            if r[-1] != current:
-                lists.append([])
-                current = r[-1]
-            lists[-1].append(r[:-1])
-        tree, out, before = LoserTree(lists), [], None
+    ng = len(groups)
+    fields = [f.name for f in runs.schema.fields]
+
+    def merged(lists: list[list[tuple]]) -> list[tuple]:
+        """The first n different items of sorted runs of (*keys, *items)."""
+        tree, out = LoserTree(lists), []
         while len(out) < n and (got := tree.pop()) is not None:
-            if got[1] != before:
+            if not out or got[1] != out[-1]:
                 out.append(got[1])
-            before = got[1]
         return out
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ng, group_now, pending = len(groups), None, []
-        for pdf in batches:
-            out = []
-            for row in zip(*[pdf[c].tolist() for c in [*by, "_run"]]):
-                if group_now is not None and row[:ng] != group_now:
-                    out += [(*group_now, *m, k + 1) for k, m in enumerate(merged(pending))]
-                    pending = []
-                group_now = row[:ng]
-                pending.append(row[ng:])
-            if out:
-                yield pd.DataFrame(out, columns=[*by, "rank"])
-        if pending:
-            yield pd.DataFrame([(*group_now, *m, k + 1) for k, m in enumerate(merged(pending))], columns=[*by, "rank"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (group, run, place) to the heads of each group. At most ``MOST_RUNS``
+        runs are held: what they give is itself a run for the next ones."""
+        schema = pa.schema([(f, t) for f, t in zip(fields, arrow_types)])
+        group_now, run_now, held, out = None, None, [], []
 
-    met = runs.repartition(*groups).sortWithinPartitions(*groups, "_run", "_at").drop("_at")
-    top = met.mapInPandas(merge, f"{ddl}, rank int")
+        def close() -> None:
+            for place, item in enumerate(merged(held), 1):
+                out.append((*group_now, *item, run_now, place))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                group, run = row[:ng], row[-2]
+                if group != group_now:
+                    if group_now is not None:
+                        close()
+                    group_now, held = group, []
+                    held.append([])
+                elif run != run_now:
+                    if len(held) >= MOST_RUNS:
+                        held = [merged(held)]
+                    held.append([])
+                run_now = run
+                held[-1].append(row[ng:-2])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                out.clear()
+        if group_now is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    arrow_types = [to_arrow_type(kinds[c]) for c in by] + [pa.int32(), pa.int32()]
+    final = f"{ddl}, _run int, _at int"
+    # runs meet by group and bucket first, so that a group of any size is spread over the buckets
+    near = runs.withColumn("_bucket", F.shiftright("_run", BUCKET_BITS)).repartition(*groups, "_bucket").sortWithinPartitions(*groups, "_run", "_at")
+    near = near.select(*fields).mapInArrow(merge, final)
+    met = near.repartition(*groups).sortWithinPartitions(*groups, "_run", "_at")
+    top = met.mapInArrow(merge, final).withColumnRenamed("_at", "rank")
     return top.select(*[F.col(a).alias(g) for g, a in zip(group, groups)], *[F.col(a).alias(i) for i, a in zip(item, items)], "rank")

@@ -2,10 +2,17 @@
 
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from pitchloom.llm import topn
 from pitchloom.llm.lookalike import alike_pairs
 from pitchloom.llm.names import name_similarity
+from pitchloom.llm.nearest import _match
+from pitchloom.llm.packing import audit, pack
+from pitchloom.llm.topn import top_n
 
 
 def test_a_part_typed_alone_with_a_wrong_space():
@@ -21,3 +28,46 @@ def test_composed_look_alikes_meet_their_decomposed_form(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     got = sorted(map(tuple, alike_pairs(df, "k", "t").collect()))
     assert got == [(0, 1), (0, 12), (1, 12), *((k, k + 1) for k in range(2, 12, 2))]
+
+
+def test_every_container_size_is_packed(spark):
+    docs = spark.createDataFrame([(k, k % 7) for k in range(30)], "doc_id long, n long")
+    sizes = spark.createDataFrame([(f"s{k}", 10 + k) for k in range(1500)], "size_name string, capacity_tokens long")
+    out = pack(docs, "doc_id", "n", sizes)
+    assert out.select("size_name").distinct().count() == 1500 and out.count() == 45_000
+    good = audit(out, sizes, "doc_id", 0.5).where("n_over = 0 AND n_ragged = 0 AND tokens = 85")
+    assert good.count() == 1500
+
+
+def test_a_hot_key_fills_many_shards(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 50 + 1).alias("n"))
+    sizes = spark.createDataFrame([("s", 64)], "size_name string, capacity_tokens long")
+    out = pack(docs, "doc_id", "n", sizes, shard_items=1000)
+    shards = out.groupBy((F.col("container_id") / 2**32).cast("long").alias("s")).count().collect()
+    assert len(shards) == 20 and max(r["count"] for r in shards) < 2000 and sum(r["count"] for r in shards) == 20_000
+
+
+def test_top_n_keeps_values_as_they_are(spark):
+    big = 9007199254740993
+    rows = [(1, 5.0, big), (1, 5.0, None), (1, 4.0, big + 2), (1, 5.0, None), (2, 1.0, None)]
+    df = spark.createDataFrame(rows, "g long, s double, id long").repartition(3)
+    got = sorted(map(tuple, top_n(df, ["g"], [("s", True), ("id", False)], 3, ["id"]).collect()), key=repr)
+    assert got == sorted([(1, big, 1), (1, None, 2), (1, big + 2, 3), (2, None, 1)], key=repr)
+
+
+def test_a_group_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(topn, "MOST_RUNS", 3)
+    monkeypatch.setattr(topn, "BUCKET_BITS", 2)
+    df = spark.range(300_000).select(F.lit(1).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("s"), "id").repartition(40)
+    got = [r.id for r in top_n(df, ["g"], [("s", True), ("id", False)], 50, ["id"]).orderBy("rank").collect()]
+    assert got == [r.id for r in df.orderBy(F.desc("s"), "id").limit(50).collect()]
+
+
+def test_waiting_left_records_are_released():
+    n = 1000
+    pdf = pd.DataFrame({"_part": ["x"] * n, "_t": np.arange(n, dtype=float), "_key": np.arange(n), "_left": np.arange(n) > 0})
+    out, carried = _match(pdf, 5.0, False)
+    # the right record is too far from most, and too near to the first ones for any later one to win
+    assert list(out["left_key"]) == [1, 2, 3, 4, 5] and len(carried) <= 8
+    more, rest = _match(pd.concat([carried, pd.DataFrame({"_part": ["x"], "_t": [float(n)], "_key": [7777], "_left": [False]})], ignore_index=True), 5.0, True)
+    assert sorted(more["left_key"]) == [995, 996, 997, 998, 999] and set(more["right_key"]) == {7777}
