@@ -142,7 +142,8 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1].where(~F.col("reachable")).select("source")
+    """Sources whose fitted rates stand at their caps short of the goal; checked exactly."""
+    return _mixed(spark, sf_dir)[1].where(F.col("short") & ~F.col("reachable")).select("source")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchloom.llm.lookalike import alike_pairs, canonical_text, class_sizes, coarse, look_alike
-from pitchloom.llm.mixing import mixture, project_rates
+from pitchloom.llm.mixing import _walk, fit_rates, mixture
 from pitchloom.llm.names import distance, link_names, name_similarity
 from pitchloom.llm.nearest import nearest
 from pitchloom.llm.packing import fill_report, fullest, pack, plan
@@ -156,9 +156,35 @@ def test_token_sizes(spark):
 
 # --- mixture ---
 def test_rates_reach_reachable_targets():
-    members = np.eye(3)
-    rates = project_rates(np.array([100.0, 300.0, 50.0]), members, np.array([2.0, 1.0, 4.0]), np.array([150.0, 100.0, 400.0]))
-    assert rates == pytest.approx([1.5, 1 / 3, 4.0], abs=1e-4)
+    alone, rates, history = fit_rates(np.array([100.0, 300.0, 50.0]), np.array([2.0, 1.0, 4.0]), np.array([150.0, 100.0, 400.0]))
+    assert alone == pytest.approx([1.5, 1 / 3, 4.0], abs=1e-9) and list(rates) == list(alone) and history == []
+
+
+def test_fit_is_the_least_squares_optimum():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        tokens, caps = rng.uniform(0, 100, 3), rng.integers(0, 4, 3).astype(float)
+        t, probs = rng.uniform(1, 20, 15), rng.dirichlet([0.3] * 3, 15)
+        soft_caps, goal = caps[probs.argmax(axis=1)], rng.uniform(0, 250, 3)
+        calls = []
+
+        def soft(history):
+            calls.append(1)
+            return (t * _walk(history, probs, soft_caps)[1]) @ probs, t @ probs
+
+        alone, rates, history = fit_rates(tokens, caps, goal, soft)
+        # labelled documents alone have a closed form
+        assert alone == pytest.approx(np.where(tokens > 0, np.minimum(goal / np.maximum(tokens, 1e-9), caps), caps), abs=1e-6)
+        x = np.concatenate([rates, _walk(history, probs, soft_caps)[0]])
+        a = np.vstack([np.diag(tokens), t[:, None] * probs])
+        top = np.concatenate([caps, soft_caps])
+        weight = 1 / (tokens + t @ probs)
+        loss = lambda y: (weight * (y @ a - goal) ** 2).sum()  # noqa: B023, E731
+        assert (x >= 0).all() and (x <= top).all()
+        best = x.copy()
+        for _ in range(20000):  # plain projected gradient, far longer
+            best = np.clip(best - (a @ (weight * (best @ a - goal))) / np.maximum(a.sum(axis=1), 1e-9), 0, top)
+        assert loss(x) <= loss(best) + 0.002 * max(loss(best), weight @ goal**2)
 
 
 def test_mixture_caps_and_reports(spark):
@@ -176,8 +202,19 @@ def test_mixture_caps_and_reports(spark):
     assert rep["c"].reachable == (have["c"] * 2 >= 0.3 * total)
     got = drawn.collect()
     assert max(r.repeats for r in got if r.source == "a") <= 1 and max(r.repeats for r in got) <= 2
-    assert rep["b"].drawn < rep["b"].expected == pytest.approx(0.3 * total, rel=0.1)
-    assert sum(r.actual_share for r in rep.values()) == pytest.approx(1.0)
+    # documents without a label are drawn where the labelled ones don't suffice
+    assert rep["b"].drawn <= rep["b"].expected == pytest.approx(0.3 * total, rel=0.1)
+    assert rep["c"].short and rep["c"].drawn < rep["c"].expected
+    # shares are of all tokens drawn, those without a label too
+    whole = sum(r.tokens * r.repeats for r in got)
+    assert sum(r.expected_share for r in rep.values()) == pytest.approx(1.0) and sum(r.expected for r in rep.values()) == pytest.approx(whole)
+    assert rep["a"].actual_share == pytest.approx(rep["a"].drawn / whole)
+    # what the fitted rates call short is what the capacities can't reach
+    for r in rep.values():
+        assert r.short == (not r.reachable) and r.reachable == (r.capacity >= r.goal)
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    again = mixture(nameless, "doc_id", "text", "source", "n", targets)
+    assert {r.source: (r.tokens, r.short) for r in again[1].collect()} == {r.source: (r.tokens, r.short) for r in rep.values()} and again[0].count() > 0
     drawn, report = mixture(docs.limit(0), "doc_id", "text", "source", "n", targets)
     assert drawn.count() == 0 and all(r.drawn == 0 for r in report.collect())
 
