@@ -1,5 +1,6 @@
 """Cases that reviews have brought up."""
 
+import random
 import unicodedata
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchloom.llm import topn
 from pitchloom.llm.lookalike import alike_pairs
-from pitchloom.llm.names import name_similarity
+from pitchloom.llm.names import Linking, band_keys, name_similarity
 from pitchloom.llm.nearest import _match
 from pitchloom.llm.packing import audit, pack
 from pitchloom.llm.topn import top_n
@@ -71,3 +72,26 @@ def test_waiting_left_records_are_released():
     assert list(out["left_key"]) == [1, 2, 3, 4, 5] and len(carried) <= 8
     more, rest = _match(pd.concat([carried, pd.DataFrame({"_part": ["x"], "_t": [float(n)], "_key": [7777], "_left": [False]})], ignore_index=True), 5.0, True)
     assert sorted(more["left_key"]) == [995, 996, 997, 998, 999] and set(more["right_key"]) == {7777}
+
+
+def test_recall_of_the_bands_alone_against_all_pairs(spark):
+    rng = random.Random(4)
+    sounds = ["ba", "kel", "dor", "mi", "sta", "run", "vo", "zil", "qua", "ter", "na", "ples"]
+    names = [("".join(rng.choices(sounds, k=2)), "".join(rng.choices(sounds, k=3))) for _ in range(150)]
+    teams = ["fc tarvona", "real quintovar", "sarnester city"]
+    people_ = [(k, f"{a} {b}", teams[k % 3]) for k, (a, b) in enumerate(names)]
+
+    def typo(text):
+        at = rng.randrange(1, len(text))
+        return rng.choice([text[:at] + text[at + 1 :], text[:at] + rng.choice("aeiou") + text[at:], " ".join(reversed(text.split()))])
+
+    rows = [(k, typo(name), team) for k, name, team in people_ for _ in range(2)]
+    ddl = "id long, form string, team string"
+    left, right = spark.createDataFrame([(i, f, t) for i, (_, f, t) in enumerate(rows)], ddl), spark.createDataFrame(people_, ddl)
+    settings = Linking()
+    for with_team, sure in ((True, settings.with_team), (False, settings.without_team)):
+        keys = [band_keys(df, settings, set(), set(), with_team).withColumnRenamed("id", n) for df, n in ((left, "r"), (right, "p"))]
+        met = {(x.r, x.p) for x in keys[0].join(keys[1], "band").groupBy("r", "p").count().where(f"count >= {settings.agree}").collect()}
+        want = {(i, k) for i, (_, form, team) in enumerate(rows) for k, name, home in people_ if (team == home or not with_team) and name_similarity(form, *name.split()) >= sure}
+        assert len(want) > 200 and len(want & met) >= 0.95 * len(want)
+        assert len(met) < 0.35 * len(rows) * len(people_)
