@@ -39,18 +39,24 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return joined
 
 
-def window_contrast(anchors: DataFrame, values: DataFrame, anchor: str, at: str, match: list[str], unit: str, time: str, value: str, width: float, fill: float = 0.0) -> DataFrame:
-    """(anchor, unit, member_pre, member_post): sums in [t - width, t) and [t, t + width].
+def window_contrast(anchors: DataFrame, values: DataFrame, anchor: str, at: str, match: list[str], unit: str, time: str, value: str, width: float, fill: float | None = 0.0, how: str = "sum") -> DataFrame:
+    """(anchor, unit, member_pre, member_post): ``how`` (sum, avg, max) of the values in
+    [t - width, t) and [t, t + width].
 
-    Both windows come from one equi-join on ``match`` (which should hold the period, so
-    that stoppage time doesn't leak) and conditional sums. Members of a block without a
-    value in a window get ``fill``.
+    The members of a block are the units with any value in it (``match`` should hold the
+    period, so that stoppage time doesn't leak); without a value in a window they get
+    ``fill``. Values meet anchors in an equi-join on the match and a time bucket of the
+    width, so an anchor only meets the values of three buckets, however long a match is.
     """
-    joined = anchors.join(values, match)
+    slot = F.floor(F.col(time) / width)
+    near = anchors.select(*match, anchor, at, F.explode(F.sequence(F.floor((F.col(at) - width) / width), F.floor((F.col(at) + width) / width))).alias("_slot"))
+    joined = near.join(values.select(*match, unit, time, value, slot.alias("_slot")), [*match, "_slot"])
     gap = F.col(time) - F.col(at)
-    pre = F.sum(F.when((gap >= -width) & (gap < 0), F.col(value)))
-    post = F.sum(F.when((gap >= 0) & (gap <= width), F.col(value)))
-    return joined.groupBy(anchor, unit).agg(F.coalesce(pre, F.lit(fill)).alias("member_pre"), F.coalesce(post, F.lit(fill)).alias("member_post"))
+    fold = {"sum": F.sum, "avg": F.avg, "max": F.max}[how]
+    inside = joined.where(gap.between(-width, width)).groupBy(anchor, unit).agg(fold(F.when(gap < 0, F.col(value))).alias("member_pre"), fold(F.when(gap >= 0, F.col(value))).alias("member_post"))
+    members = anchors.select(*match, anchor).join(values.select(*match, unit).distinct(), match).select(anchor, unit).distinct()
+    both = members.join(inside, [anchor, unit], "left")
+    return both if fill is None else both.fillna(fill, ["member_pre", "member_post"])
 
 
 def clip(x: Column, low: object, high: object) -> Column:

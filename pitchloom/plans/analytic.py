@@ -97,16 +97,16 @@ def _(s, d):
     return b.select("channel", j.alias("j")).groupBy("channel").agg(F.round(F.max(F.abs("j")), 6).alias("jump"))
 
 
-_HOME = "(SELECT frame_id, gameRefId::BIGINT AS game, videoTimeMs AS t, num, min(x) AS x, min(y) AS y FROM (SELECT frame_id, gameRefId, videoTimeMs, TRY_CAST(TRY_CAST(trim(p.jerseyNum) AS DOUBLE) AS BIGINT) AS num, p.x AS x, p.y AS y FROM (SELECT frame_id, gameRefId, videoTimeMs, unnest(homePlayers) AS p FROM (SELECT DISTINCT * FROM tracking))) WHERE num IS NOT NULL GROUP BY ALL)"
+_HOME = "(SELECT frame_id, game, t, num, x, y FROM (SELECT frame_id, gameRefId::BIGINT AS game, videoTimeMs AS t, TRY_CAST(TRY_CAST(trim(p.jerseyNum) AS DOUBLE) AS BIGINT) AS num, p.x AS x, p.y AS y FROM (SELECT frame_id, gameRefId, videoTimeMs, unnest(homePlayers) AS p FROM (SELECT DISTINCT * FROM tracking))) WHERE num IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_id, num ORDER BY x, y) = 1)"
 
 
 def positions(s, d) -> DataFrame:
-    """One home position per frame and shirt."""
+    """One home position per frame and shirt; of a shirt listed twice the entry of smaller (x, y)."""
     from pitchloom.operators.nested import whole_number_column
 
     t = table(s, d, "tracking").dropDuplicates(["frame_id"]).select("frame_id", F.col("gameRefId").cast("long").alias("game"), F.col("videoTimeMs").alias("t"), F.explode("homePlayers").alias("p"))
-    rows = t.select("frame_id", "game", "t", whole_number_column(F.col("p.jerseyNum")).alias("num"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).where("num IS NOT NULL")
-    return rows.groupBy("frame_id", "game", "t", "num").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    rows = t.select("frame_id", "game", "t", whole_number_column(F.col("p.jerseyNum")).alias("num"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).dropna(subset=["num", "x", "y"])
+    return rows.groupBy("frame_id", "game", "t", "num").agg(F.min(F.struct("x", "y")).alias("at")).select("frame_id", "game", "t", "num", "at.x", "at.y")
 
 
 @q("w14_velocity", f"SELECT frame_id, num, round(CASE WHEN lag(x) OVER w IS NOT NULL AND t > lag(t) OVER w THEN least(greatest((x - lag(x) OVER w) / ((t - lag(t) OVER w) / 1000), -12), 12) END, 5) AS vx FROM {_HOME} WINDOW w AS (PARTITION BY game, num ORDER BY t, frame_id)")
@@ -151,7 +151,13 @@ def _(s, d):
     return spans.where("n >= 2").drop("g", "n")
 
 
-@q("w19_debounced_possession", None)
+_STEADY = """f AS (SELECT DISTINCT frame_id, gameRefId::BIGINT AS game, period::BIGINT AS period, coalesce(game_event.home_ball, false) AS home_ball FROM tracking),
+r AS (SELECT *, sum(c) OVER (PARTITION BY game, period ORDER BY frame_id) AS run FROM (SELECT *, CASE WHEN lag(home_ball) OVER w IS DISTINCT FROM home_ball THEN 1 ELSE 0 END AS c FROM f WINDOW w AS (PARTITION BY game, period ORDER BY frame_id))),
+n AS (SELECT *, row_number() OVER (PARTITION BY game, period, run ORDER BY frame_id) AS pos FROM r),
+st AS (SELECT frame_id, game, period, home_ball, coalesce(last_value(CASE WHEN pos >= 2 THEN home_ball END IGNORE NULLS) OVER w, first_value(home_ball) OVER w) AS steady FROM n WINDOW w AS (PARTITION BY game, period ORDER BY frame_id ROWS UNBOUNDED PRECEDING))"""
+
+
+@q("w19_debounced_possession", f"WITH {_STEADY} SELECT frame_id, home_ball, steady FROM st")
 def _(s, d):
     t = table(s, d, "tracking").dropDuplicates(["frame_id"]).select(F.col("gameRefId").cast("long").alias("game"), F.col("period").cast("long").alias("period"), "frame_id", F.coalesce(F.col("game_event.home_ball"), F.lit(False)).alias("home_ball"))
     return debounce(t, ["game", "period"], ["frame_id"], "home_ball", 2, "steady").select("frame_id", "home_ball", "steady")
@@ -186,7 +192,10 @@ SELECT team, row_number() OVER (ORDER BY sum(gf) DESC, count(*) DESC, team) AS p
 def _(s, d):
     t = R.goals(s, d).where("match_id IS NOT NULL AND scoring_team_id IS NOT NULL").groupBy("match_id", F.col("scoring_team_id").alias("team")).agg(F.count(F.lit(1)).alias("gf"))
     by_team = t.groupBy("team").agg(F.sum("gf").alias("gf"), F.count(F.lit(1)).alias("n"))
-    return by_team.select("team", F.row_number().over(Window.orderBy(F.desc("gf"), F.desc("n"), "team")).cast("long").alias("place"), "gf")
+    # places are counted per number of goals first, so no task ranks all teams
+    above = by_team.groupBy("gf").agg(F.count(F.lit(1)).alias("k")).select("gf", F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("gf")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    inside = F.row_number().over(Window.partitionBy("gf").orderBy(F.desc("n"), "team"))
+    return by_team.join(above, "gf").select("team", (F.col("above") + inside).cast("long").alias("place"), "gf")
 
 
 # --- composites ---
@@ -295,7 +304,7 @@ def _(s, d):
     return R.events(s, d, "ball").where(b["x"].isNotNull() & b["y"].isNotNull()).select("event_id", F.round(b["x"] / F.greatest(F.sqrt(b["x"] * b["x"] + b["y"] * b["y"]), F.lit(0.01)), 5).alias("ux"))
 
 
-@q("f17_name_norm", None)
+@q("f17_name_norm", f"SELECT id, trim(regexp_replace(lower(strip_accents(concat_ws(' ', replace(replace(replace(replace(replace(firstName, 'ø', 'o'), 'Ø', 'O'), 'ł', 'l'), 'Ł', 'L'), 'ß', 'ss'), replace(replace(replace(replace(replace(lastName, 'ø', 'o'), 'Ø', 'O'), 'ł', 'l'), 'Ł', 'L'), 'ß', 'ss')))), '[^a-z0-9]+', ' ', 'g')) AS name FROM {PLAYERS}")
 def _(s, d):
     return R.players(s, d).select("id", name_norm(F.concat_ws(" ", "firstName", "lastName")).alias("name"))
 
