@@ -28,15 +28,14 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, car
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, closed_end: bool = True) -> DataFrame:
-    """Points inside spans of the same keys: an equi-join with a residual range condition."""
-    inside = (points[at] >= spans[start]) & ((points[at] <= spans[end]) if closed_end else (points[at] < spans[end]))
-    same = None
-    for k in keys:
-        same = (points[k] == spans[k]) if same is None else same & (points[k] == spans[k])
-    joined = points.join(spans, same & inside)
-    for k in keys:
-        joined = joined.drop(spans[k])
-    return joined
+    """Points inside spans of the same keys: an equi-join with a residual range condition.
+    Beside the keys the two tables have no column in common."""
+    other = {k: f"_span_{k}" for k in keys}
+    spans = spans.withColumnsRenamed(other)
+    inside = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed_end else (F.col(at) < F.col(end)))
+    for k, renamed in other.items():
+        inside = inside & (F.col(k) == F.col(renamed))
+    return points.join(spans, inside).drop(*other.values())
 
 
 def window_contrast(anchors: DataFrame, values: DataFrame, anchor: str, at: str, match: list[str], unit: str, time: str, value: str, width: float, fill: float | None = 0.0, how: str = "sum") -> DataFrame:

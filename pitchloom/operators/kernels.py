@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 ELO_K, ELO_START, ELO_HOME = 20.0, 1500.0, 100.0
 SPEED_MAX, REACTION, SIGMA, RATE, STEP, HORIZON, ENOUGH, BALL_SPEED = 5.0, 0.7, 0.45, 4.3, 0.04, 10.0, 0.99, 15.0
 TELEPORT, SPEED_CAP, LEAST_SEGMENT, HAMPEL_WIDTH, HAMPEL_K, CUTOFF_HZ = 12.0, 11.0, 16, 9, 3.0, 1.0
+HIGH_SPEED, SPRINT, ZONES = 5.5, 25 / 3.6, (0.0, 2.0, 4.0, 5.5, 7.0)
 # --- end of fixed values ---
 
 
@@ -103,7 +104,7 @@ def hampel(x: np.ndarray, width: int = HAMPEL_WIDTH, k: float = HAMPEL_K) -> np.
     view = np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), width)
     mid = np.median(view, axis=1)
     mad = 1.4826 * np.median(np.abs(view - mid[:, None]), axis=1)
-    return np.where(np.abs(x - mid) > k * mad, mid, x)
+    return np.where((mad > 0) & (np.abs(x - mid) > k * mad), mid, x)
 
 
 def smooth_speed(df: DataFrame, source: list[str], time: str, key: str, x: str, y: str, rate: float) -> DataFrame:
@@ -129,6 +130,16 @@ def smooth_speed(df: DataFrame, source: list[str], time: str, key: str, x: str,
     return out.withColumn("speed", F.when(~F.isnan("speed"), F.col("speed")))
 
 
+def minute_metrics(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metres, hsr_s, sprint_s, p95, z1_m..z5_m) of steps (step in metres, dt in seconds,
+    speed in m/s): an aggregation, whatever the speeds were smoothed by. Metres and seconds
+    are summed exactly."""
+    v, exact = F.col("speed"), lambda c: F.col(c).cast("decimal(18,9)")
+    part = lambda c, cond: F.round(F.coalesce(F.sum(F.when(cond, exact(c))).cast("double"), F.lit(0.0)), 4)
+    zones = [part("step", (v >= a) & (v < b)).alias(f"z{k}_m") for k, (a, b) in enumerate(zip(ZONES, (*ZONES[1:], 99.0)), 1)]
+    return steps.groupBy(*keys).agg(F.round(F.sum(exact("step")).cast("double"), 4).alias("metres"), part("dt", v >= HIGH_SPEED).alias("hsr_s"), part("dt", v >= SPRINT).alias("sprint_s"), F.round(F.percentile(v, 0.95), 6).alias("p95"), *zones)
+
+
 def arrival_times(players: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Seconds until each standing player reaches the target: reaction, then full speed."""
     return REACTION + np.hypot(players[:, 0] - target[0], players[:, 1] - target[1]) / SPEED_MAX

@@ -26,10 +26,10 @@ def playing_intervals(events: DataFrame) -> DataFrame:
 
 
 def overlapping(goals: DataFrame, width: int) -> DataFrame:
-    """Adds overlaps: another goal of the match at another time within ``width`` seconds."""
+    """Adds has_overlap: another goal of the match at another time within ``width`` seconds."""
     times = goals.select("match_id", "t").distinct()
     w = Window.partitionBy("match_id").orderBy("t")
-    near = times.withColumn("overlaps", F.coalesce(F.col("t") - F.lag("t").over(w) <= width, F.lit(False)) | F.coalesce(F.lead("t").over(w) - F.col("t") <= width, F.lit(False)))
+    near = times.withColumn("has_overlap", F.coalesce(F.col("t") - F.lag("t").over(w) <= width, F.lit(False)) | F.coalesce(F.lead("t").over(w) - F.col("t") <= width, F.lit(False)))
     return goals.join(near, ["match_id", "t"])
 
 
@@ -46,7 +46,7 @@ def shock_table(goals: DataFrame, events: DataFrame, width: int = 600) -> DataFr
     side = F.when(F.col("team_id") == F.col("scoring_team_id"), "GOAL_FOR").otherwise("GOAL_AGAINST")
     out = rows.select(
         F.col("goal_id").alias("shock_id"), "match_id", F.col("period").cast("long").alias("period"), "player_id", side.alias("perspective"), F.greatest(t - width, F.col("lo")).alias("pre_start"), F.least(t + width, F.col("hi")).alias("post_end"),
-        (t - width < F.col("lo")).alias("pre_cut"), (t + width > F.col("hi")).alias("post_cut"), "overlaps",
+        (t - width < F.col("lo")).alias("pre_cut"), (t + width > F.col("hi")).alias("post_cut"), "has_overlap",
         ((F.col("minute_in") > 0) & F.col("minute_in").between(minute(t - width), minute(t))).alias("entered"), F.col("minute_out").between(minute(t), minute(t + width)).alias("left_field"),
     )
     return out.withColumn("n_mates", F.count(F.lit(1)).over(Window.partitionBy("shock_id", "perspective")) - 1)  # players of one side

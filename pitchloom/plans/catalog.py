@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("prep", "relational", "fields", "analytic", "statistics", "published")
+_MODULES = ("prep", "relational", "fields", "analytic", "shocks", "statistics", "published")
 
 
 def _collect(attribute: str) -> dict:

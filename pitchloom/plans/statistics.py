@@ -179,13 +179,6 @@ def _(s, d):
     return kernels.elo(games, "match_id", "a", "b", "ga", "gb")
 
 
-@q("j16_greedy_match")
-def _(s, d):
-    g = R.goals(s, d).select("goal_id", "match_id", "period", F.col("start_game_clock").alias("t")).dropna()
-    e = table(s, d, "events_enriched").where("possessionEvents.shotOutcomeType = 'G'").select("event_id", "match_id", "period", F.col("start_game_clock").alias("t")).dropna().distinct()
-    return kernels.greedy_match(g, e, "goal_id", "event_id", ["match_id", "period"], "t")
-
-
 @q("c16_smoothed_speed")
 def _(s, d):
     from pitchloom.plans.analytic import positions
