@@ -30,8 +30,8 @@ def calibration(df: DataFrame, p: str, y: str, count: int) -> DataFrame:
 def murphy(df: DataFrame, p: str, y: str, count: int) -> DataFrame:
     """One row: reliability, resolution, uncertainty, ece, mce."""
     cells = calibration(df, p, y, count)
-    all_ = cells.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mean_y")) / F.sum("n")).alias("base"))
-    joined = cells.crossJoin(F.broadcast(all_))  # one row
+    one = Window.partitionBy(F.lit(0))  # a row per bin
+    joined = cells.withColumns({"total": F.sum("n").over(one), "base": F.sum(F.col("n") * F.col("mean_y")).over(one) / F.sum("n").over(one)})
     gap = F.col("mean_p") - F.col("mean_y")
     weight = F.col("n") / F.col("total")
     return joined.agg(
@@ -112,6 +112,15 @@ def ks_distance(df: DataFrame, sample: str, value: str, a: object, b: object) ->
     return cum.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))  # one row
 
 
+def split_rhat(df: DataFrame, by: list[str], chain: str, order: str, value: str) -> DataFrame:
+    """(by, rhat, ess): chains cut into halves by ``order``; ess by the ratio of the variances
+    within and between the halves, at most the number of draws."""
+    half = F.ntile(2).over(Window.partitionBy(*by, chain).orderBy(order)).alias("_half")
+    c = df.select(*by, chain, F.col(value).alias("_v"), half).groupBy(*by, chain, "_half").agg(F.avg("_v").alias("m"), F.var_samp("_v").alias("v"), F.count(F.lit(1)).alias("n"))
+    n, within, between = F.avg("n"), F.avg("v"), F.var_samp("m")
+    return c.groupBy(*by).agg(F.sqrt(((n - 1) / n * within + between) / within).alias("rhat"), F.least(F.sum("n") * within / (within + n * between), F.sum("n").cast("double")).alias("ess"))
+
+
 def robustness_value(t: Column, dof: Column) -> Column:
     """Closed form: strength a confounder would need to explain the estimate away."""
     f2 = t * t / dof
