@@ -54,11 +54,12 @@ def partially_linear(df: DataFrame, y: str, t: str, cells: list[str], group: str
     """(by, theta, se, n): residual on residual with cross-fitted cell means, errors clustered by group."""
     r = cross_fitted(df, cells, group, folds, {"_my": (y, None), "_mt": (t, None)}).dropna(subset=["_my", "_mt"])
     r = r.select(*by, group, (F.col(y) - F.col("_my")).alias("_ry"), (F.col(t) - F.col("_mt")).alias("_rt"))
-    per = r.groupBy(*by, group).agg(F.sum(F.col("_rt") * F.col("_ry")).alias("a"), F.sum(F.col("_rt") * F.col("_rt")).alias("b"), F.count(F.lit(1)).alias("m"))
-    one = per.groupBy(*by).agg(F.sum("a").alias("A"), F.sum("b").alias("B"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum("m").alias("n"))
-    theta = F.try_divide("A", "B")
-    meat = F.greatest(F.col("aa") - 2 * theta * F.col("ab") + theta * theta * F.col("bb"), F.lit(0.0))
-    return one.select(*by, theta.alias("theta"), F.try_divide(F.sqrt(meat), "B").alias("se"), "n")
+    per = r.groupBy(*by, group).agg(F.sum(F.col("_rt") * F.col("_ry")).alias("_a"), F.sum(F.col("_rt") * F.col("_rt")).alias("_b"), F.count(F.lit(1)).alias("_m"))
+    a, b = F.col("_a"), F.col("_b")
+    one = per.groupBy(*by).agg(F.sum(a).alias("_A1"), F.sum(b).alias("_B1"), F.sum(a * a).alias("_aa"), F.sum(a * b).alias("_ab"), F.sum(b * b).alias("_bb"), F.sum("_m").alias("n"))
+    theta = F.try_divide("_A1", "_B1")
+    meat = F.greatest(F.col("_aa") - 2 * theta * F.col("_ab") + theta * theta * F.col("_bb"), F.lit(0.0))
+    return one.select(*by, theta.alias("theta"), F.try_divide(F.sqrt(meat), "_B1").alias("se"), "n")
 
 
 def att_scores(df: DataFrame, y: str, t: str, cells: list[str], group: str, folds: int = 5, trim: float = 0.01) -> DataFrame:

@@ -33,6 +33,21 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def cumulate(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds cum_<column>, the sum up to and with the row, to rows that are unique in (keys, order).
+
+    No key is gathered in one task: the rows are range-partitioned, sums run inside the parts
+    and are carried over from part to part by one row a part and key. Null keys are keys."""
+    rows = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_m_{c}") for c in columns])
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_k_{c}" for c in [*keys, "_part"]}
+    parts = parts.select(*[F.col(c).alias(n) for c, n in names.items()], *[F.coalesce(F.sum(f"_m_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(maybe_broadcast(parts), same).select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in columns])
+
+
 def bh_adjust(df: DataFrame, p: str, family: list[str], tie: list[str], out: str) -> DataFrame:
     """Benjamini-Hochberg: running minimum from the largest p down of p * n / rank, at most 1.
 

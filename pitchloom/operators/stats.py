@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchloom.operators.ranking import cumulate
+
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, auc) by the rank-sum with average ranks of ties. Scores are counted first, so the
-    window runs over distinct scores, not rows."""
+    running sums are over distinct scores, not rows."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    ranked = cumulate(counts, by, score, ["_n"]).withColumn("_below", F.col("cum__n") - F.col("_n"))
     ranks = F.sum(F.col("_pos") * (F.col("_below") + (F.col("_n") + 1) / 2))
     p, n = F.sum("_pos"), F.sum("_n")
     return ranked.groupBy(*by).agg(F.try_divide(ranks - p * (p + 1) / 2, p * (n - p)).alias("auc"))
@@ -82,8 +83,8 @@ def shrink(df: DataFrame, group: str, value: str) -> DataFrame:
     variances by the method of moments (one-way analysis of variance)."""
     g = df.dropna(subset=[value]).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     n, mean = F.col("n"), F.col("mean")
-    one = g.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.sum(n * n).alias("n2"), (F.sum(n * mean) / F.sum("n")).alias("grand"), F.sum((n - 1) * F.col("v")).alias("ssw"), F.sum(n * mean * mean).alias("q"))
-    j = g.crossJoin(F.broadcast(one))  # one row
+    one = lambda c: g.agg(c).scalar()
+    j = g.withColumns({"total": one(F.sum("n")), "k": one(F.count(F.lit(1))), "n2": one(F.sum(n * n)), "grand": one(F.sum(n * mean) / F.sum("n")), "ssw": one(F.sum((n - 1) * F.col("v"))), "q": one(F.sum(n * mean * mean))})
     within = F.try_divide("ssw", F.col("total") - F.col("k"))
     between = F.try_divide(F.try_divide(F.col("q") - F.col("total") * F.col("grand") * F.col("grand"), F.col("k") - 1) - within, F.try_divide(F.col("total") - F.try_divide("n2", "total"), F.col("k") - 1))
     tau = F.greatest(between, F.lit(0.0))
@@ -106,10 +107,10 @@ def icc(df: DataFrame, group: str, value: str) -> DataFrame:
 def ks_distance(df: DataFrame, sample: str, value: str, a: object, b: object) -> DataFrame:
     """One row: largest gap between the two samples' distribution functions."""
     counts = df.dropna(subset=[value]).groupBy(value).agg(F.count_if(F.col(sample) == a).alias("na"), F.count_if(F.col(sample) == b).alias("nb"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.select(F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb"))
-    total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    return cum.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))  # one row
+    cum = cumulate(counts, [], value, ["na", "nb"])
+    top = cum.agg(F.max("cum_na").alias("ta"), F.max("cum_nb").alias("tb"))
+    share = lambda c, t: F.try_divide(F.col(c), top.select(t).scalar())
+    return cum.agg(F.max(F.abs(share("cum_na", "ta") - share("cum_nb", "tb"))).alias("ks"))
 
 
 def split_rhat(df: DataFrame, by: list[str], chain: str, order: str, value: str) -> DataFrame:

@@ -57,8 +57,8 @@ def _(s, d):
 @q("w07_global_z", f"SELECT panel_id, round(coalesce((leverage - (SELECT avg(leverage) FROM {PANEL})) / (SELECT stddev_samp(leverage) FROM {PANEL}), 0), 5) AS z FROM {PANEL}")
 def _(s, d):
     p = R.panel(s, d)
-    one = p.agg(F.avg("leverage").alias("m"), F.stddev_samp("leverage").alias("sd"))
-    return p.crossJoin(F.broadcast(one)).select("panel_id", F.round(F.coalesce(F.try_divide(F.col("leverage") - F.col("m"), "sd"), F.lit(0.0)), 5).alias("z"))  # one row
+    m, sd = (p.agg(f("leverage")).scalar() for f in (F.avg, F.stddev_samp))
+    return p.select("panel_id", F.round(F.coalesce(F.try_divide(F.col("leverage") - m, sd), F.lit(0.0)), 5).alias("z"))
 
 
 @q("w08_ordinal_rank", f"SELECT edition_id, pff_player_id, CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY edition_id ORDER BY v DESC NULLS LAST, pff_player_id) END AS rk FROM (SELECT *, CASE WHEN isnan(chasing_clutch_idx) THEN NULL ELSE chasing_clutch_idx END AS v FROM {PCJ})")

@@ -169,14 +169,19 @@ def _(s, d):
     return folds.boosted_out_of_fold(rows, ["match_id", "minute_bin"], "match_id", "label", ["score_diff", "red_diff", "elo_diff", "shots_diff_recent"])
 
 
-@q("t05_elo")
+@q("t05_elo", f"""WITH RECURSIVE per AS (SELECT match_id, scoring_team_id AS team, count(*) AS n FROM {GOALS} WHERE match_id IS NOT NULL AND scoring_team_id IS NOT NULL GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY n DESC, team) AS k FROM per),
+gm AS (SELECT a.match_id, a.team AS x, b.team AS y, a.n AS nx, b.n AS ny, row_number() OVER (ORDER BY a.match_id, a.team) AS i FROM rk a JOIN rk b ON b.match_id = a.match_id AND a.k = 1 AND b.k = 2),
+r AS (SELECT 0::BIGINT AS i, MAP {{-1::BIGINT: 0.0::DOUBLE}} AS m, NULL::BIGINT AS game, NULL::BIGINT AS home, NULL::BIGINT AS away, NULL::DOUBLE AS rx, NULL::DOUBLE AS ry
+UNION ALL SELECT i, map_concat(m, MAP {{x: rx + 20 * ((CASE WHEN nx > ny THEN 1.0 WHEN nx = ny THEN 0.5 ELSE 0.0 END) - 1 / (1 + pow(10, (ry - rx - 100) / 400))), y: ry - 20 * ((CASE WHEN nx > ny THEN 1.0 WHEN nx = ny THEN 0.5 ELSE 0.0 END) - 1 / (1 + pow(10, (ry - rx - 100) / 400)))}}), match_id, x, y, rx, ry
+FROM (SELECT gm.*, r.m, coalesce(r.m[gm.x], 1500.0) AS rx, coalesce(r.m[gm.y], 1500.0) AS ry FROM r JOIN gm ON gm.i = r.i + 1))
+SELECT game, home, away, round(rx, 6) AS before_home, round(ry, 6) AS before_away FROM r WHERE game IS NOT NULL""")
 def _(s, d):
     g = R.goals(s, d).dropna(subset=["match_id", "scoring_team_id"])
     per = g.groupBy("match_id", F.col("scoring_team_id").alias("team")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("match_id").orderBy(F.desc("n"), "team")
     two = per.withColumns({"k": F.row_number().over(w)}).where("k <= 2").groupBy("match_id").pivot("k", [1, 2]).agg(F.struct(F.first("team").alias("team"), F.first("n").alias("n")))
     games = two.select("match_id", F.col("1.team").alias("a"), F.col("2.team").alias("b"), F.col("1.n").alias("ga"), F.coalesce("2.n", F.lit(0)).alias("gb")).where("b IS NOT NULL")
-    return kernels.elo(games, "match_id", "a", "b", "ga", "gb")
+    return kernels.elo(games, "match_id", "a", "b", "ga", "gb").select("game", "home", "away", F.round("before_home", 6).alias("before_home"), F.round("before_away", 6).alias("before_away"))
 
 
 @q("c16_smoothed_speed")
