@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.session import cut
+
 COLLATION = "UNICODE"
 
 # --- fixed values: letters of other scripts that look like a Latin letter ---
@@ -150,7 +152,8 @@ def members(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)["_key"]
-    hashed = rows.mapInArrow(_digest, f"_key {kind}, _h long, _a long, _b long")
+    # keys and hashes only, so that no later step maps the texts again
+    hashed = cut(rows.mapInArrow(_digest, f"_key {kind}, _h long, _a long, _b long"))
     # copies meet before the classes do, so a text in a third of all rows is one row here
     held = hashed.groupBy("_h", "_a", "_b").agg(F.min("_key").alias("_key"))
     several = held.groupBy("_h").agg(F.min(F.struct("_a", "_b")).alias("lo"), F.max(F.struct("_a", "_b")).alias("hi")).where("lo <> hi").select("_h")

@@ -163,35 +163,55 @@ def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int
         return out
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (group, run, place) to the heads of each group. At most ``MOST_RUNS``
-        runs are held: what they give is itself a run for the next ones."""
+        """Rows sorted by (group, run, place) to the heads of each group. A group of one run is
+        its own result and passes as it is; of the others at most ``MOST_RUNS`` runs are
+        held, and what they give is itself a run for the next ones."""
         schema = pa.schema([(f, t) for f, t in zip(fields, arrow_types)])
         group_now, run_now, held, out = None, None, [], []
 
-        def close() -> None:
-            for place, item in enumerate(merged(held), 1):
-                out.append((*group_now, *item, run_now, place))
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                group, run = row[:ng], row[-2]
-                if group != group_now:
-                    if group_now is not None:
-                        close()
-                    group_now, held = group, []
-                    held.append([])
-                elif run != run_now:
+        def feed(batch: pa.RecordBatch) -> None:
+            """Rows of one group, which may go on in the next batch."""
+            nonlocal group_now, run_now, held
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:ng] != group_now:
+                    close()
+                    group_now, held, run_now = row[:ng], [[]], row[-2]
+                elif row[-2] != run_now:
                     if len(held) >= MOST_RUNS:
                         held = [merged(held)]
                     held.append([])
-                run_now = run
+                    run_now = row[-2]
                 held[-1].append(row[ng:-2])
+
+        def close() -> None:
+            nonlocal group_now
+            if group_now is not None:
+                out.extend((*group_now, *item, run_now, place) for place, item in enumerate(merged(held), 1))
+            group_now = None
+
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            new_group, new_run = np.ones(rows, bool), np.zeros(rows, bool)
+            if rows > 1:
+                changes = lambda c: pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+                new_group[1:] = np.any([changes(batch.column(c)) for c in range(ng)], axis=0) if ng else False
+                new_run[1:] = changes(batch.column(len(fields) - 2)) & ~new_group[1:]
+            starts = np.flatnonzero(new_group)
+            ends = np.append(starts[1:], rows)
+            several = np.add.reduceat(new_run, starts) > 0
+            # the first may belong to the group before it, the last may go on
+            several[0] = several[-1] = True
+            for k in np.flatnonzero(several):
+                feed(batch.slice(int(starts[k]), int(ends[k] - starts[k])))
+            alone = ~np.repeat(several, ends - starts)
+            if alone.any():
+                yield batch.filter(pa.array(alone))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out.clear()
-        if group_now is not None:
-            close()
+        close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
