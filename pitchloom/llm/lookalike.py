@@ -163,7 +163,7 @@ def members(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     best = F.min(F.struct((F.col("_odd") > 0).alias("odd"), F.col("_odd").alias("n"), F.length("_text").alias("size"), F.col("_text").alias("text")))
     grouped = mapped.groupBy("_form").agg(best.alias("best"), F.min(F.struct("_a", "_b")).alias("class_no"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
     classes_ = mapped.join(grouped, "_form").select("_a", "_b", "_text", "class_no", F.col("best.text").alias("canonical"))
-    return hashed.join(several, "_h", "left_semi").select("_key", "_a", "_b"), classes_
+    return hashed.join(several, "_h", "left_semi").select("_key", "_a", "_b"), cut(classes_)
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
