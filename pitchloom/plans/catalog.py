@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("prep", "relational", "fields", "analytic", "shocks", "statistics", "inference", "published")
+_MODULES = ("prep", "relational", "fields", "analytic", "shocks", "statistics", "inference", "files", "published")
 
 
 def _collect(attribute: str) -> dict:

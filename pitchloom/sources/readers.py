@@ -30,10 +30,10 @@ TRACKING = T.StructType(
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | None = None, id_pattern: str | None = None) -> DataFrame:
     """Files that hold one object or an array of objects. Without a schema all rows are looked
-    at for one. ``id_pattern`` takes a match_id from the file name."""
+    at for one. ``id_pattern`` takes a match_id from the file's path."""
     reader = spark.read.option("multiLine", True)
     df = reader.schema(schema).json(path) if schema else reader.option("samplingRatio", 1.0).json(path)
-    return df if id_pattern is None else df.withColumn("match_id", F.regexp_extract(F.col("_metadata.file_name"), id_pattern, 1).try_cast("long"))
+    return df if id_pattern is None else df.withColumn("match_id", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).try_cast("long"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -45,14 +45,76 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
+def peeked_lines(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
+    """JSON lines under the schema that the first ``rows`` of them show; keys that come later
+    are left out, so give a schema where it is known."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(rows)
+    shape = spark.read.json(head.rdd.map(lambda r: r[0])).schema  # the head only
+    return json_lines(spark, path, shape).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` in its order, cast where safe or not; missing ones are null,
+    values that can't be cast too."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
+def tagged_union(frames: dict[str, DataFrame], tag: str) -> DataFrame:
+    """One table of several, each row with its source's name in ``tag``."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(tag, F.lit(name)) for name, df in frames.items()])
+
+
+def tree(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All JSON lines below a folder, however deep."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+
+
+def allowed(df: DataFrame, column: str, value: str, values: tuple[str, ...]) -> DataFrame:
+    """Rows with a value out of a closed list; a value outside it is an error, not an empty answer."""
+    if value not in values:
+        raise ValueError(f"{column} must be one of {', '.join(values)}")
+    return df.where(F.col(column) == value)
+
+
+def extract_all(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], folder: str) -> dict[str, DataFrame]:
+    """Writes each table below ``folder`` unless it is there, and returns them as read back."""
+    return {name: materialize(spark, f"{folder}/{name}", build) for name, build in jobs.items()}
+
+
+def text_card(row_columns: dict[str, str], title: str):
+    """An expression for a text card: the title column, then "label: value" lines."""
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for label, c in row_columns.items()]
+    return F.concat_ws("\n", F.coalesce(F.col(title), F.lit("?")), *lines)
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column_name, n_null, n_rows) of every column, in one pass."""
+    names = df.columns
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    return one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null")) for c in names])).alias("x")).select("x.*", F.col("_n").alias("n_rows"))
+
+
+def sampled_agreement(a: DataFrame, b: DataFrame, key: str, share: float) -> DataFrame:
+    """(n_sampled, n_same): rows of a hash sample by key that are the same in both tables. The
+    sample is a feature of the audit; each side is sampled where it is read."""
+    names = sorted(a.columns)
+    pick = lambda df: df.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))).select(key, F.to_json(F.struct(*names)).alias("row")).distinct()
+    both = pick(a).join(pick(b).withColumnRenamed("row", "other"), key, "full")
+    return both.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("row").eqNullSafe(F.col("other"))).alias("n_same"))
+
+
 def tracking_frames(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed tracking frames; the schema is fixed, so a key that comes late isn't lost."""
     return json_lines(spark, path, TRACKING).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def catalog(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Catalog entries that parse; the others are dropped."""
-    return spark.read.option("mode", "DROPMALFORMED").schema(schema).json(path)
+def catalog(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Catalog entries that parse, and the number of those that don't (one row, n_corrupt), so
+    that a caller can warn."""
+    lines = json_lines(spark, path, schema)
+    bad = F.col(CORRUPT).isNotNull()
+    return lines.where(~bad).drop(CORRUPT), lines.agg(F.count_if(bad).alias("n_corrupt"))
 
 
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -19,7 +19,8 @@ def test_json_readers(spark, tmp_path):
     assert readers.tracking_frames(spark, str(lines)).count() == 2
     bad = readers.json_lines(spark, str(lines), T.StructType([T.StructField("frameNum", T.LongType())]))
     assert bad.where(F.col("_corrupt_record").isNotNull()).count() == 1
-    assert readers.catalog(spark, str(lines), T.StructType([T.StructField("frameNum", T.LongType())])).select("frameNum").collect()
+    good, corrupt = readers.catalog(spark, str(lines), T.StructType([T.StructField("frameNum", T.LongType())]))
+    assert good.select("frameNum").collect() and corrupt.first().n_corrupt == 1
 
 
 def test_tables_and_audit(spark, tmp_path):
@@ -58,9 +59,9 @@ def test_streaming_twins(spark, tmp_path):
     src = spark.createDataFrame(rows, "k long, t double, x double, y double, f boolean").coalesce(1)
     src.write.parquet(str(tmp_path / "s"))
     stream = lambda: live.file_stream(spark, str(tmp_path / "s"), src.schema)
-    v = sorted(drain(live.velocities(stream(), "k", "t", "x", "y"), "vel"), key=lambda r: r.t)
+    v = sorted(drain(live.velocities(stream(), "k", "t", "x", "y", expire_ms=None), "vel"), key=lambda r: r.t)
     assert v[0].vx is None and all(r.vx == 2.0 for r in v[1:])
-    s = sorted(drain(live.steady_flags(stream(), "k", "t", "f"), "flags"), key=lambda r: r.o)
+    s = sorted(drain(live.steady_flags(stream(), "k", "t", "f", expire_ms=None), "flags"), key=lambda r: r.o)
     assert [r.steady for r in s] == [True, True, True, False, False, True, True, False]
     stamped = stream().withColumn("ts", F.timestamp_seconds(F.col("t") * 30))
     got = drain(live.minute_buckets(stamped, "ts", ["k"]), "mins", "complete")
