@@ -94,7 +94,8 @@ class StructuralIndex:
         self.pos, self.of = at, of[at]
         self.kind = np.where(kind[at] >= 0, kind[at], np.where(opening_quote[at], STRING, SCALAR)).astype(np.int8)
         # A token lies in the container that is open around it; brackets lie in their parent.
-        self.level = depth[at] - opening[at]
+        # A payload that closes more than it opens is invalid; its tokens must not sort before its start marker.
+        self.level = np.maximum(depth[at] - opening[at], 0)
         closers = np.flatnonzero(quote & ~inside)
         self.end = at + 1
         is_string = self.kind == STRING

@@ -115,3 +115,8 @@ def test_the_three_readers_of_whole_numbers_agree(spark):
     column = {r.id: r.n for r in df.select("id", whole_number_column(F.col("home")[0]["jerseyNum"]).alias("n")).collect()}
     assert [listed.get(k) for k in range(len(texts))] == want
     assert [column[k] for k in range(len(texts))] == want
+
+
+def test_a_payload_does_not_vouch_for_the_one_before_it():
+    texts = ["null", "[false,]", "}null", "[1]"]
+    assert StructuralIndex([t.encode() for t in texts]).valid.tolist() == [True, False, False, True]
