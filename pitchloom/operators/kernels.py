@@ -98,13 +98,21 @@ def both_ways(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> n
     return ext[pad : pad + len(x)]
 
 
-def hampel(x: np.ndarray, width: int = HAMPEL_WIDTH, k: float = HAMPEL_K) -> np.ndarray:
-    """Values further than k robust deviations from the running median replaced by it."""
+def _running_median(x: np.ndarray, width: int) -> np.ndarray:
     half = width // 2
-    view = np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), width)
-    mid = np.median(view, axis=1)
-    mad = 1.4826 * np.median(np.abs(view - mid[:, None]), axis=1)
-    return np.where((mad > 0) & (np.abs(x - mid) > k * mad), mid, x)
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), width), axis=1)
+
+
+def hampel(x: np.ndarray, width: int = HAMPEL_WIDTH, k: float = HAMPEL_K) -> np.ndarray:
+    """Values further than k robust deviations from the running median replaced by it. The
+    deviation is the running median of the distances; where that is 0 nothing is replaced,
+    and a series shorter than the window stays as it is."""
+    if len(x) < width:
+        return x
+    mid = _running_median(x, width)
+    away = np.abs(x - mid)
+    sigma = 1.4826 * _running_median(away, width)
+    return np.where((sigma > 0) & (away > k * sigma), mid, x)
 
 
 def smooth_speed(df: DataFrame, source: list[str], time: str, key: str, x: str, y: str, rate: float) -> DataFrame:
