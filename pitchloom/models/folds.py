@@ -36,7 +36,7 @@ def boosted_out_of_fold(df: DataFrame, keys: list[str], group: str, label: str,
     return iso.transform(oof).select(*keys, label, "raw", "calibrated")
 
 
-def doubly_robust(df: DataFrame, group: str, treated: str, outcome: str, features: list[str], folds: int = 3, trim: float = 0.01) -> DataFrame:
+def doubly_robust(df: DataFrame, group: str, treated: str, outcome: str, features: list[str], folds: int = 5, trim: float = 0.01) -> DataFrame:
     """One row (att, se, n): augmented inverse weighting for the treated, cross-fitted by group;
     the error is clustered by group, without small-sample factor."""
     rows = cut(VectorAssembler(inputCols=features, outputCol="_x").transform(df).withColumn("_fold", fold_of(group, folds)))

@@ -276,11 +276,11 @@ def _(s, d):
     return R.events(s, d, "ball", "gameEvents").select("event_id", S.flip(x, F.col("gameEvents.homeTeam")).alias("x"), F.col("gameEvents.homeTeam").alias("h")).where("h IS NOT NULL AND x IS NOT NULL").drop("h")
 
 
-@q("f05_geometry", f"SELECT event_id, round(sqrt(pow(52.5 - ball[1].x, 2) + pow(ball[1].y, 2)), 5) AS dist, round(atan2(ball[1].y, 52.5 - ball[1].x), 5) AS angle FROM {EV} WHERE ball[1].x IS NOT NULL AND ball[1].y IS NOT NULL")
+@q("f05_geometry", f"SELECT event_id, round(sqrt(pow(52.5 - ball[1].x, 2) + pow(ball[1].y, 2)), 5) AS dist, round(atan2(ball[1].y, 52.5 - ball[1].x), 5) + 0.0 AS angle FROM {EV} WHERE ball[1].x IS NOT NULL AND ball[1].y IS NOT NULL")
 def _(s, d):
     b = F.get("ball", F.lit(0))
     e = R.events(s, d, "ball").select("event_id", b["x"].alias("x"), b["y"].alias("y")).dropna()
-    return e.select("event_id", F.round(S.goal_distance(F.col("x"), F.col("y")), 5).alias("dist"), F.round(S.goal_angle(F.col("x"), F.col("y")), 5).alias("angle"))
+    return e.select("event_id", F.round(S.goal_distance(F.col("x"), F.col("y")), 5).alias("dist"), (F.round(S.goal_angle(F.col("x"), F.col("y")), 5) + 0.0).alias("angle"))
 
 
 @q("f07_aperture", f"WITH b AS (SELECT event_id, ball[1].x AS x, ball[1].y AS y FROM {EV} WHERE ball[1].x IS NOT NULL AND ball[1].y IS NOT NULL), m AS (SELECT event_id, sqrt(pow(52.5 - x, 2) + pow(3.66 - y, 2)) AS a, sqrt(pow(52.5 - x, 2) + pow(-3.66 - y, 2)) AS b FROM b) SELECT event_id, round(acos(greatest(-1, least(1, (a * a + b * b - 7.32 * 7.32) / (2 * a * b + 1e-8)))), 4) AS aperture FROM m")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions.scalar import tier
@@ -10,7 +15,7 @@ from pitchloom.operators.ranking import ordinal_rank, percentile_ordinal
 from pitchloom.operators.reshape import contract_violations
 from pitchloom.plans import relational as R
 from pitchloom.plans.relational import PANEL, PCJ, PM
-from pitchloom.session import table
+from pitchloom.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -32,14 +37,22 @@ def master_table(s, d):
     return out
 
 
-def name_cascade(s, d):
-    """(sb_player_id, pff_player_id, pass_no): within the same team the first of three passes
-    that leaves one candidate: equal names; one name's tokens all in the other, or two
-    common tokens; every token within two edits. The team is the block, so the pairs are
-    rows times the size of their team."""
+def _ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(ratio=[SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf["a"], pdf["b"])])[["sb_player_id", "pff_player_id", "ratio"]]
+
+
+def name_cascade(s, d, overrides: dict[int, int] | None = None):
+    """(sb_player_id, pff_player_id, pass_no): within the same team the first pass that leaves one
+    candidate: 1 equal names; 2 one name's tokens all in the other, or two common tokens; 3
+    every token within two edits; 4 the best sequence ratio of at least 0.55 that leads by
+    more than 0.1. ``overrides`` (0) settle rows by hand. The team is the block, so the
+    pairs are rows times the size of their team; rows without a name or team have none."""
     norm = lambda c: F.split(name_norm(F.col(c)), " ")
     rows = table(s, d, "sb_to_pff_player_map").select("sb_player_id", F.lower(F.trim("team_name")).alias("team"), norm("sb_player_name").alias("rt")).dropna().distinct()
     people = R.players(s, d).select(F.col("id").alias("pff_player_id"), F.lower(F.trim("team_name")).alias("team"), F.split(name_norm(F.concat_ws(" ", "firstName", "lastName")), " ").alias("pt")).dropna()
+    by_hand = s.createDataFrame([(a, b, 0) for a, b in (overrides or {}).items()], "sb_player_id long, pff_player_id long, pass_no long")
+    rows = rows.join(by_hand, "sb_player_id", "left_anti")
     pairs = rows.join(people, "team")
     within = lambda a, b: F.size(F.array_except(a, b)) == 0
     near = F.size(F.filter("rt", lambda t: F.exists("pt", lambda u: F.levenshtein(t, u, 2) >= 0)))
@@ -47,7 +60,14 @@ def name_cascade(s, d):
     passes = F.when(F.array_sort("rt") == F.array_sort("pt"), 1).when(subset, 2).when(near >= F.greatest(F.lit(2), F.size("rt")), 3)
     hits = pairs.select("sb_player_id", "pff_player_id", passes.cast("long").alias("pass_no")).where("pass_no IS NOT NULL")
     one = hits.groupBy("sb_player_id", "pass_no").agg(F.count(F.lit(1)).alias("n"), F.min("pff_player_id").alias("pff_player_id")).where("n = 1")
-    return one.groupBy("sb_player_id").agg(F.min_by("pff_player_id", "pass_no").alias("pff_player_id"), F.min("pass_no").alias("pass_no"))
+    found = cut(one.groupBy("sb_player_id").agg(F.min_by("pff_player_id", "pass_no").alias("pff_player_id"), F.min("pass_no").alias("pass_no")))
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    rest = pairs.join(found, "sb_player_id", "left_anti").select("sb_player_id", "pff_player_id", text("rt").alias("a"), text("pt").alias("b"))
+    scored = rest.mapInPandas(_ratio, "sb_player_id long, pff_player_id long, ratio double")
+    w = Window.partitionBy("sb_player_id").orderBy(F.desc("ratio"), "pff_player_id")  # the people of a team
+    best = scored.withColumns({"place": F.row_number().over(w), "next": F.coalesce(F.lead("ratio").over(w), F.lit(0.0))})
+    fourth = best.where("place = 1 AND ratio >= 0.55 AND ratio - next > 0.1").select("sb_player_id", "pff_player_id", F.lit(4).cast("long").alias("pass_no"))
+    return found.unionByName(fourth).unionByName(by_hand)
 
 
 QUERIES = {"c28_master_table": master_table, "j18_name_cascade": name_cascade}
