@@ -8,9 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitchloom.llm import topn
+from pitchloom.llm import names, topn
 from pitchloom.llm.lookalike import alike_pairs
-from pitchloom.llm.names import Linking, band_keys, name_similarity
+from pitchloom.llm.names import Linking, band_keys, link_names, name_similarity
 from pitchloom.llm.nearest import _match
 from pitchloom.llm.packing import audit, pack
 from pitchloom.llm.topn import top_n
@@ -95,3 +95,14 @@ def test_recall_of_the_bands_alone_against_all_pairs(spark):
         want = {(i, k) for i, (_, form, team) in enumerate(rows) for k, name, home in people_ if (team == home or not with_team) and name_similarity(form, *name.split()) >= sure}
         assert len(want) > 200 and len(want & met) >= 0.95 * len(want)
         assert len(met) < 0.35 * len(rows) * len(people_)
+
+
+def test_links_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    people = spark.createDataFrame([(1, "Robert", "Tororstra", "Bob", "FC Tarvona"), (2, "Robert", "Belinor", "Bob", "FC Tarvona")], "person_id long, given string, family string, nick string, team string")
+    rows = spark.createDataFrame([(1, "Bob Tororstra", None, "FC Tarvona", None), (2, "Robert Belinor", None, None, None), (3, "x", None, None, 2)], "row_id long, name_a string, name_b string, team string, known_id long")
+    out = link_names(people, rows)
+    assert sorted((r.row_id, r.person_id) for r in out.collect()) == [(1, 1), (2, 2), (3, 2)]
+    plans.append(out._jdf.queryExecution().executedPlan().toString())  # with what AQE made of it
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
